@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import simhash
+from tessera.llm import embedding_dedup, simhash
 
 
 def queries() -> dict:
     return {
+        "op5_embedding_near_dedup": embedding_dedup.query,
         "op8_simhash_near_dedup": simhash.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_embedding_near_dedup": embedding_dedup.SQL}
