@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import embedding_dedup, simhash
+from tessera.llm import embedding_dedup, language, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": language.query,
         "op5_embedding_near_dedup": embedding_dedup.query,
         "op8_simhash_near_dedup": simhash.query,
     }
