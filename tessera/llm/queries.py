@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import embedding_dedup, language, simhash
+from tessera.llm import embedding_dedup, language, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_language_id": language.query,
+        "op4_toxicity": toxicity.query,
         "op5_embedding_near_dedup": embedding_dedup.query,
         "op8_simhash_near_dedup": simhash.query,
     }
