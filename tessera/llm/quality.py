@@ -36,6 +36,7 @@ CACHE = 200_000
 _LETTER = re.compile(r"[^\W\d_]")
 #: Marks that ordinary prose holds.
 _PROSE = set(".,;:'\"?!()-’“”«»¿¡…|")
+_EDGES = ".,;:!?"
 _OTHER, _SMALL, _CAPITAL, _ODD = 0, 1, 2, 3
 _kinds: np.ndarray | None = None
 
@@ -137,7 +138,8 @@ class _Shapes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= CACHE:
             self.clear()
-        core = word if word.isalpha() else "".join(_LETTER.findall(word))
+        core = word if word.isalpha() else word.strip(_EDGES)
+        core = core if core.isalpha() else "".join(_LETTER.findall(word))
         case = "none" if not core else "lower" if core.islower() else "upper" if len(core) > 1 and core.isupper() else "title" if len(core) == 1 or core[1:].islower() else "mixed"
         rest = "" if core is word else "".join(sorted(set(word) - set(core)))[:8]
         self[word] = at = bucket(f"{case} {'0' if any(map(str.isdigit, rest)) else rest}")

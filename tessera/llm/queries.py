@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import embedding_dedup, language, quality, simhash, toxicity
+from tessera.llm import chat, embedding_dedup, language, quality, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_language_id": language.query,
+        "op3_chat_formatting": chat.query,
         "op4_toxicity": toxicity.query,
         "op5_embedding_near_dedup": embedding_dedup.query,
         "op8_simhash_near_dedup": simhash.query,
@@ -16,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_embedding_near_dedup": embedding_dedup.SQL}
+    return {"op3_chat_formatting": chat.SQL, "op5_embedding_near_dedup": embedding_dedup.SQL}
