@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, embedding_dedup, language, quality, simhash, toxicity
+from tessera.llm import chat, embedding_dedup, language, mixing, quality, simhash, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_toxicity": toxicity.query,
         "op5_embedding_near_dedup": embedding_dedup.query,
         "op8_simhash_near_dedup": simhash.query,
+        "op9_source_mixing": mixing.query,
         "op10_quality_classifier": quality.query,
     }
 
