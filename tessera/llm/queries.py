@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, embedding_dedup, language, licenses, line_dedup, mixing, quality, simhash, toxicity
+from tessera.llm import chat, decontaminate, embedding_dedup, language, licenses, line_dedup, mixing, quality, simhash, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_toxicity": toxicity.query,
         "op5_embedding_near_dedup": embedding_dedup.query,
         "op6_line_dedup": line_dedup.query,
+        "op7_benchmark_decontamination": decontaminate.query,
         "op8_simhash_near_dedup": simhash.query,
         "op9_source_mixing": mixing.query,
         "op10_quality_classifier": quality.query,
