@@ -129,23 +129,28 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return gone.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with the lines gone from text, and the columns lines_dropped (int) and emptied: whether nothing but white space is left of a
-    document that lost lines. Other columns stay as they are; columns of those two names are replaced.
+def dedup_lines(docs: DataFrame, annotate: bool = True) -> DataFrame:
+    """docs with the lines gone from text, less documents of which nothing but white space is left.
+
+    annotate: keep those documents too, and add the columns lines_dropped (int) and emptied (whether it's one of those); columns of
+    these names are replaced. All other columns stay as they are.
 
     A null or empty text, and a row without doc_id, stays as it is and repeats nothing. Rows with one doc_id and one text are one
     document: its lines are no repeats of each other across those rows. Within a document later repeats go like others.
     Ties don't occur, as (doc_id, line number) is unique but for such rows. An empty table gives no row.
     """
-    gone = repeated_lines(docs).withColumnsRenamed({"doc_id": "_doc_id", "version": "_version"})
-    joined = docs.join(gone, (docs["doc_id"].cast("long") == F.col("_doc_id")) & (F.xxhash64(docs["text"]) == F.col("_version")), "left")
-    kept = F.array_join(F.transform(F.filter(F.transform(F.split("text", "\n", -1), lambda line, i: F.struct(line.alias("line"), i.alias("i"))), lambda x: ~F.array_contains(F.col("dropped"), x["i"])), lambda x: x["line"]), "\n")
-    text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(kept)
-    out = joined.withColumn("text", text).withColumn("lines_dropped", F.coalesce(F.size("dropped"), F.lit(0))).withColumn("lines_dropped", F.when(F.col("lines_dropped") < 0, 0).otherwise(F.col("lines_dropped")))
-    out = out.withColumn("emptied", (F.col("lines_dropped") > 0) & (F.trim(F.regexp_replace("text", "\\s+", " ")) == ""))
-    return out.drop("_doc_id", "_version", "dropped")
+    gone = repeated_lines(docs).withColumnsRenamed({"doc_id": "_gone_doc_id", "version": "_gone_version", "dropped": "_gone"})
+    joined = docs.join(gone, (docs["doc_id"].cast("long") == F.col("_gone_doc_id")) & (F.xxhash64(docs["text"]) == F.col("_gone_version")), "left")
+    kept = F.array_join(F.transform(F.filter(F.transform(F.split("text", "\n", -1), lambda line, i: F.struct(line.alias("line"), i.alias("i"))), lambda x: ~F.array_contains(F.col("_gone"), x["i"])), lambda x: x["line"]), "\n")
+    out = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
+    emptied = F.col("_gone").isNotNull() & F.coalesce(F.trim(F.regexp_replace("text", "\\s+", " ")) == "", F.lit(False))
+    if annotate:
+        out = out.withColumn("lines_dropped", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone"))).withColumn("emptied", emptied)
+    else:
+        out = out.where(~emptied)
+    return out.drop("_gone_doc_id", "_gone_version", "_gone")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "lines_dropped", F.coalesce("emptied", F.lit(False)).alias("emptied"), F.length("text").cast("long").alias("chars_kept"), F.sha2("text", 256).alias("text_sha256"))
+    return out.select("doc_id", "lines_dropped", "emptied", F.length("text").cast("long").alias("chars_kept"), F.sha2("text", 256).alias("text_sha256"))

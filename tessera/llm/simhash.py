@@ -196,6 +196,17 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bit
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def drop_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, seed: int = SEED) -> DataFrame:
+    """One document of each group: the one whose doc_id names it; columns as they are. Of repeated rows of a doc_id one stays.
+
+    Rows without doc_id can't name a group and stay. The ids that go are joined to the documents, never gathered.
+    """
+    found = near_duplicates(docs.where("doc_id is not null"), shingle_words, max_bits, seed)
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone_id")).distinct()
+    named = docs.where("doc_id is not null").join(gone, docs["doc_id"].cast("long") == F.col("_gone_id"), "left_anti").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null"))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     from tessera.llm.common import table
 
