@@ -153,3 +153,11 @@ def correspondence(spark, d):
     plain = F.concat("source", F.lit("/"), "lang", F.lit(".txt"))
     moved = F.when(F.col("lang") == "fr", F.concat(F.lit("x/"), "source", F.lit("/fr.txt"))).when(F.col("lang") == "de", "y/de.txt").otherwise(plain)
     return census.correspondence(docs.where("lang <> 'es'").select(moved.alias("path")), docs.select(plain.alias("path")))
+
+
+@query("graph_cypher", graph_sql(""" SELECT n.repo AS "a.repo", e.kind, count(*) AS n FROM g_edges e JOIN g_nodes n ON n.id = e.src_id JOIN g_nodes b ON b.id = e.dst_id WHERE e.kind IN ('READS_FIELD', 'RAISES') AND b.repo <> 'Brand#1' GROUP BY ALL ORDER BY n DESC, 1, 2 LIMIT 10"""))
+def graph_cypher(spark, d):
+    from tessera.plans.cypher import cypher
+
+    text = "MATCH (a:function)-[r:READS_FIELD|RAISES]->(b) WHERE b.repo <> $repo RETURN a.repo, r.kind AS kind, count(b) AS n ORDER BY n DESC, a.repo, kind LIMIT 10"
+    return cypher(g.nodes(spark, d), g.edges(spark, d), text, {"repo": "Brand#1"})
