@@ -95,7 +95,7 @@ def precision_recall(spark, d):
 @query(
     "spearman",
     """WITH p AS (SELECT p_size AS x, round(p_retailprice / 50) AS y FROM part), r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM p)
-    SELECT round(corr(rx, ry), 6) AS rho, count(*) AS n FROM r""",
+    SELECT CASE WHEN stddev_pop(rx) * stddev_pop(ry) = 0 THEN 0.0::DOUBLE ELSE round(corr(rx, ry), 6) END AS rho, count(*) AS n FROM r""",
 )
 def spearman(spark, d):
     return s.spearman(g.table(spark, d, "part").select(F.col("p_size").alias("x"), F.round(F.col("p_retailprice") / 50).alias("y"))).select(*r6("rho"), "n")
