@@ -89,7 +89,9 @@ class ToxicityModel:
         return np.bincount(words // BUCKETS, weights=self.weights[words % BUCKETS]) + self.bias
 
     def score(self, text: str | None) -> float:
-        return float(-np.expm1(-_softplus(self.sentence_logits(text)).sum()))
+        """Noisy-or of what sentences hold beyond a sentence without any telling word, so that length alone makes no text toxic."""
+        beyond = _softplus(self.sentence_logits(text)) - _softplus(self.bias)
+        return float(-np.expm1(-np.maximum(beyond, 0).sum()))
 
     def offending(self, text: str | None, threshold: float = THRESHOLD) -> list[tuple[int, int, float]]:
         """Spans (start, end, score) in code points of the sentences whose own score reaches the threshold."""

@@ -167,4 +167,4 @@ def test_quality(spark):
 
 def test_label_model_trusts_a_lone_bad_vote():
     good = quality.label_model({"22222222": 900, "02222222": 50, "20222222": 50, "22220012": 40, "11111111": 5})
-    assert good["22222222"] > 0.9 and good["02222222"] < 0.5 and good["22220012"] < 0.1
+    assert good["22222222"] > quality.THRESHOLD > good["02222222"] and good["22220012"] < 0.1
