@@ -22,8 +22,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, table
@@ -32,32 +34,46 @@ MIN_WORDS = 5
 MIN_WORDS_EDITED = 10
 
 
-def normalise(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, "\\s+", " ")))
+def _digest(kind: str, words: list[str]) -> int:
+    """A signed 64-bit hash of some words in a role: a line, a half, what's left after a deletion."""
+    h = xxhash.xxh64_intdigest(f"{kind} {len(words)} {' '.join(words)}".encode("utf-8", "surrogatepass"), 0)
+    return h - (1 << 64) if h >> 63 else h
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, version (of the text), line_no, words (array), n, for lines long enough to be compared."""
-    numbered = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    worded = numbered.withColumn("words", F.split(normalise(F.col("line")), " ")).drop("line")
-    return worded.withColumn("n", F.size("words")).where(F.col("n") >= MIN_WORDS)
+def _halves(words: list[str]) -> tuple[int, int, int]:
+    """Hashes of the halves that a line shares with a line one edit away: cut in the middle as it is, and as if it were one word shorter.
+    Of the four one is said twice: even lines have one tail, odd ones one head."""
+    n = len(words)
+    middle, shorter = n // 2, (n - 1) // 2
+    third = _digest("head", words[:shorter]) if n % 2 == 0 else _digest("tail", words[n - (n - 1 - shorter) :])
+    return _digest("head", words[:middle]), _digest("tail", words[middle:]), third
 
 
-def _hash(kind: str, at: Column, words: Column) -> Column:
-    return F.xxhash64(F.lit(kind), at.cast("int"), F.array_join(words, " "))
+def _lines(docs: DataFrame, halves: bool) -> DataFrame:
+    """doc_id, version (of the text), line_no, h, and, if halves are wanted, n, k0, k1, k2, for lines long enough to be compared."""
+    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
+    names = ["line_no", "h"] + (["n", "k0", "k1", "k2"] if halves else [])
 
-
-def _whole(words: Column) -> Column:
-    return _hash("line", F.size(words), words)
-
-
-def _halves(words: Column, n: Column) -> Column:
-    """Hashes of the halves that a line shares with a line one edit away: cut in the middle as it is, and as if it were one word shorter."""
-    middle, shorter = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    head = lambda k: _hash("head", k, F.slice(words, F.lit(1), k))
-    tail = lambda k: _hash("tail", k, F.slice(words, n - k + 1, k))
-    # of the four one is said twice: even lines have one tail, odd ones one head
-    return F.array(head(middle), tail(n - middle), F.when(n % 2 == 0, head(shorter)).otherwise(tail(n - 1 - shorter)))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 2000):
+                part = pdf.iloc[at : at + 2000]
+                rows, counts = [], []
+                for text in part["text"]:
+                    before = len(rows)
+                    for no, line in enumerate(text.split("\n")):
+                        words = line.lower().split()
+                        if len(words) >= MIN_WORDS:
+                            own = (no, _digest("line", words))
+                            rows.append(own + (len(words), *_halves(words)) if halves else own)
+                    counts.append(len(rows) - before)
+                out = pd.DataFrame(rows, columns=names)
+                out.insert(0, "version", np.repeat(part["version"].to_numpy(), counts))
+                out.insert(0, "doc_id", np.repeat(part["doc_id"].to_numpy(), counts))
+                yield out
+
+    kind = "doc_id long, version long, line_no int, h long" + (", n int, k0 long, k1 long, k2 long" if halves else "")
+    return texts.mapInPandas(run, kind)
 
 
 def _within_one(a: list[str], b: list[str]) -> bool:
@@ -73,39 +89,69 @@ def _within_one(a: list[str], b: list[str]) -> bool:
 
 def same_lines(docs: DataFrame) -> DataFrame:
     """One row for each distinct line: h, first (doc_id, line_no), near: whether an earlier line is one edit away."""
-    lines = _lines(docs)
-    place = F.struct("doc_id", "line_no")
-    keyed = lines.select(place.alias("place"), "n", _whole(F.col("words")).alias("h"), _halves(F.col("words"), F.col("n")).alias("k"))
-    distinct = cut(
-        keyed.select("place", "h", "n", *[F.col("k")[i].alias(f"k{i}") for i in range(3)])
-        .groupBy("h")
-        .agg(F.min("place").alias("first"), F.max("n").alias("n"), *[F.max(f"k{i}").alias(f"k{i}") for i in range(3)])
-    )
-    halves = distinct.where(F.col("n") >= MIN_WORDS_EDITED - 1).select("h", "n", "first", F.explode(F.array("k0", "k1", "k2")).alias("key"))
+    place = F.struct("doc_id", "line_no", "version")
+    distinct = cut(_lines(docs, True).groupBy("h").agg(F.min(place).alias("first"), F.max("n").alias("n"), *[F.max(k).alias(k) for k in ("k0", "k1", "k2")]))
+    halves = distinct.where(F.col("n") >= MIN_WORDS_EDITED - 1).select("h", F.explode(F.array("k0", "k1", "k2")).alias("key"))
     shared = halves.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least <> most").select("key")
-    able = halves.join(shared, "key", "left_semi").groupBy("h").agg(F.min("first").alias("first"))
-    wanted = able.select("h", "first.doc_id", "first.line_no")
-    texts = cut(lines.withColumn("h", _whole(F.col("words"))).join(wanted, ["doc_id", "line_no", "h"]).groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("words").alias("words")))
-    near = cut(_verified(texts, _partners(texts)))
+    able = halves.join(shared, "key", "left_semi").select("h").distinct()
+    wanted = distinct.join(able, "h", "left_semi").select("h", "first")
+    texts = cut(_words_of(docs, wanted))
+    near = _verified(texts, _partners(texts))
     return distinct.select("h", "first").join(near.withColumn("near", F.lit(True)), "h", "left").select("h", "first", F.coalesce("near", F.lit(False)).alias("near"))
 
 
+def _words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (h, first) with words: the documents are joined to the places that are wanted of them, and only those lines are split."""
+    places = wanted.groupBy(F.col("first.doc_id").alias("_doc_id"), F.col("first.version").alias("_version")).agg(F.collect_list(F.struct("h", "first")).alias("places"))
+    met = docs.select(F.col("doc_id").cast("long").alias("_doc_id"), F.xxhash64("text").alias("_version"), "text").join(places, ["_doc_id", "_version"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for text, places in zip(pdf["text"], pdf["places"], strict=True):
+                lines = text.split("\n")
+                rows += [(p["h"], p["first"], lines[p["first"]["line_no"]].lower().split()) for p in places]
+            yield pd.DataFrame(rows, columns=["h", "first", "words"])
+
+    # rows of one doc_id and one text are the same document
+    return met.select("text", "places").mapInPandas(run, "h long, first struct<doc_id: long, line_no: int, version: long>, words array<string>").dropDuplicates(["h"])
+
+
+def _neighbourhoods(texts: DataFrame) -> DataFrame:
+    """h, place_key, line_key: for each word of a line the hashes of what is left without it, with and without its place."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 1000):
+                part = pdf.iloc[at : at + 1000]
+                counts, place, line = [], [], []
+                for words in part["words"]:
+                    words = list(words)
+                    counts.append(len(words))
+                    for i in range(len(words)):
+                        rest = words[:i] + words[i + 1 :]
+                        place.append(_digest(f"place {i}", rest))
+                        line.append(_digest("line", rest))
+                yield pd.DataFrame({"h": np.repeat(part["h"].to_numpy(), counts), "place_key": place, "line_key": line})
+
+    long_enough = texts.where(F.size("words") >= MIN_WORDS_EDITED)
+    return long_enough.select("h", "words").mapInPandas(run, "h long, place_key long, line_key long")
+
+
 def _partners(texts: DataFrame) -> DataFrame:
-    """h and partner: of each line with an earlier one in its neighbourhood groups, the earliest such."""
-    n = F.size("words")
-    left_out = lambda i: F.concat(F.slice(F.col("words"), F.lit(1), i), F.slice(F.col("words"), i + 2, F.greatest(n - i - 1, F.lit(0))))
-    at = F.sequence(F.lit(0), n - 1)
-    rests = texts.select("h", "first", n.alias("n"), F.explode(F.transform(at, lambda i: F.struct(_hash("rest", i, left_out(i)).alias("place_key"), _hash("line", n - 1, left_out(i)).alias("line_key")))).alias("k"))
+    """h and partner: of each line with an earlier one in its neighbourhood groups, the earliest such. Only h and key of a neighbourhood are
+    shuffled; places are joined to what has met."""
+    rests, firsts = _neighbourhoods(texts), texts.select("h", F.struct("first.doc_id", "first.line_no").alias("first"))
     # replaced: all that share a key are one edit apart, so the earliest of them is a partner of each other one
-    rests = rests.where(F.col("n") >= MIN_WORDS_EDITED)
-    replaced = rests.select("h", "first", F.col("k.place_key").alias("key"))
-    earliest = replaced.groupBy("key").agg(F.min(F.struct("first", "h")).alias("e"), F.max("h").alias("most"), F.min("h").alias("least")).where("least <> most").select("key", "e")
-    by_place = replaced.join(earliest, "key").where(F.col("e.first") < F.col("first")).select("h", "e")
+    replaced = rests.select("h", F.col("place_key").alias("key"))
+    shared = replaced.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least <> most").select("key")
+    met = replaced.join(shared, "key").join(firsts, "h")
+    earliest = met.groupBy("key").agg(F.min(F.struct("first", "h")).alias("e"))
+    by_place = met.join(earliest, "key").where(F.col("e.first") < F.col("first")).select("h", "e")
     # left out: line_key is the hash of the shorter line, which is there once
-    longer = rests.select(F.col("h").alias("long_h"), F.col("first").alias("long_first"), F.col("k.line_key").alias("h"))
-    met = longer.join(texts.select("h", "first"), "h")
-    long_later = met.where(F.col("first") < F.col("long_first")).select(F.col("long_h").alias("h"), F.struct("first", "h").alias("e"))
-    long_first = met.where(F.col("long_first") < F.col("first")).select("h", F.struct(F.col("long_first").alias("first"), F.col("long_h").alias("h")).alias("e"))
+    pairs = rests.select(F.col("h").alias("long_h"), F.col("line_key").alias("h")).join(firsts, "h").join(firsts.select(F.col("h").alias("long_h"), F.col("first").alias("long_first")), "long_h")
+    long_later = pairs.where(F.col("first") < F.col("long_first")).select(F.col("long_h").alias("h"), F.struct("first", "h").alias("e"))
+    long_first = pairs.where(F.col("long_first") < F.col("first")).select("h", F.struct(F.col("long_first").alias("first"), F.col("long_h").alias("h")).alias("e"))
     return by_place.unionByName(long_later).unionByName(long_first).groupBy("h").agg(F.min("e").alias("e")).select("h", F.col("e.h").alias("partner"))
 
 
@@ -124,8 +170,7 @@ def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """doc_id, version, dropped: the sorted line numbers (from 0) of each document that go. Documents that lose none are left out."""
     same = same_lines(docs)
-    occurs = _lines(docs).select("doc_id", "version", "line_no", _whole(F.col("words")).alias("h"))
-    gone = occurs.join(same, "h").where(F.col("near") | (F.struct("doc_id", "line_no") != F.col("first")))
+    gone = _lines(docs, False).join(same, "h").where(F.col("near") | (F.struct("doc_id", "line_no", "version") != F.col("first")))
     return gone.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
 
 
