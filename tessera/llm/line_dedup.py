@@ -124,15 +124,21 @@ def _neighbourhoods(texts: DataFrame) -> DataFrame:
         for pdf in batches:
             for at in range(0, len(pdf), 1000):
                 part = pdf.iloc[at : at + 1000]
-                counts, place, line = [], [], []
+                counts, places, line = [], [], []
                 for words in part["words"]:
-                    words = list(words)
-                    counts.append(len(words))
-                    for i in range(len(words)):
-                        rest = words[:i] + words[i + 1 :]
-                        place.append(_digest(f"place {i}", rest))
-                        line.append(_digest("line", rest))
-                yield pd.DataFrame({"h": np.repeat(part["h"].to_numpy(), counts), "place_key": place, "line_key": line})
+                    n, text, at = len(words), " ".join(words), 0
+                    head = f"line {n - 1} "
+                    for i, word in enumerate(words):
+                        after = at + len(word) + 1
+                        rest = text[:at] + text[after:] if i < n - 1 else text[: at - 1]
+                        line.append(xxhash.xxh64_intdigest((head + rest).encode("utf-8", "surrogatepass"), 0))
+                        at = after
+                    counts.append(n)
+                    places.append(np.arange(n, dtype=np.uint64))
+                keys = np.array(line, dtype=np.uint64)
+                # a bijection of the rest's hash for each place
+                placed = (keys ^ (np.concatenate(places) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F)
+                yield pd.DataFrame({"h": np.repeat(part["h"].to_numpy(), counts), "place_key": placed.view(np.int64), "line_key": keys.view(np.int64)})
 
     long_enough = texts.where(F.size("words") >= MIN_WORDS_EDITED)
     return long_enough.select("h", "words").mapInPandas(run, "h long, place_key long, line_key long")
