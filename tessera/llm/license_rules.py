@@ -7,6 +7,7 @@ between words; version numbers are words of their own, as dots aren't part of wo
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 #: Label, keyword, name patterns. Order is priority within a tier: named versions before families.
@@ -78,13 +79,15 @@ FAMILIES: list[tuple[str, str, list[str]]] = [
 ]
 
 _TERMS = "(?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
-#: Tier, confidence, what stands before the name, what after.
+#: Tier, confidence, what any match holds besides the keyword, what stands before the name.
 CONTEXTS: list[tuple[int, float, str, str]] = [
-    (0, 1.0, "spdx license identifier ", ""),
-    (1, 0.95, f"(?:is |are )?licen[sc]ed (?:to you )?under {_TERMS}", ""),
-    (1, 0.95, f"(?:released|distributed|published|available|provided|redistributed|modified) (?:freely )?under {_TERMS}", ""),
-    (2, 0.85, "(?:license|licence|copying) ", ""),
-    (3, 0.7, "", ""),
+    (0, 1.0, " spdx license identifier ", "spdx license identifier "),
+    (1, 0.95, "ed under ", f"(?:is |are )?licen[sc]ed (?:to you )?under {_TERMS}"),
+    (1, 0.95, " under ", f"(?:released|distributed|published|available|provided|redistributed|modified) (?:freely )?under {_TERMS}"),
+    (2, 0.85, " license ", "license "),
+    (2, 0.85, " licence ", "licence "),
+    (2, 0.85, " copying ", "copying "),
+    (3, 0.7, " ", ""),
 ]
 
 
@@ -93,17 +96,28 @@ class Rule:
     rank: int  # place in the order of priority: by tier, then by the family's place
     tier: int
     label: str
+    gate: str
     keyword: str
     pattern: str  # matches whole words of " word word ... word "; neither the blank before nor the one after is in it
     confidence: float
 
 
+def weak_name(name: str) -> bool:
+    """Whether a name pattern can be one word."""
+    return " " not in name.replace("(?: ", "(?:")
+
+
+def _gate(gate: str, name: str) -> str:
+    """Where the context asks for nothing, what the name itself can't do without."""
+    needed = re.sub(r"\(\?:(?:[^()]|\([^()]*\))*\)\?", "", name)
+    return " licen" if gate == " " and " licen" in needed else gate
+
+
 def rules() -> list[Rule]:
     made = []
-    for tier, sure, before, after in CONTEXTS:
+    for tier, sure, gate, before in CONTEXTS:
         for label, keyword, names in FAMILIES:
             for name in names:
-                weak = tier == 3 and " " not in name.replace("(?: ", "(?:")  # one bare word, such as mit or gpl, isn't a detection
-                if not weak:
-                    made.append((tier, label, keyword, f"(?<= ){before}(?:{name}){after}(?= )", sure))
+                if tier < 3 or not weak_name(name):  # one bare word, such as mit or gpl, isn't a detection
+                    made.append((tier, label, _gate(gate, name), f" {keyword}", f"(?<= ){before}(?:{name})(?= )", sure))
     return [Rule(k, *m) for k, m in enumerate(made)]

@@ -22,9 +22,16 @@ BASE = {"mit license": "mit", "apache license": "apache", "general public licens
 HIT = "struct<first: int, last: int, tier: int, rank: int, label: string, confidence: double>"
 
 
+def _lowered(text: Column) -> Column:
+    """Lower case. Which case letters beyond ASCII have doesn't matter here, as no rule holds one, but the two that become ASCII letters in lower
+    case must stay what they are."""
+    turns_ascii = F.contains(text, F.lit("\u212a")) | F.contains(text, F.lit("\u0130"))
+    return F.when(turns_ascii, ascii_lower(text)).otherwise(F.lower(text))
+
+
 def normalise(text: Column) -> Column:
     """" word word ... word ", or one blank if there's no word."""
-    inner = F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), BREAKS, " "))
+    inner = F.trim(F.regexp_replace(_lowered(F.coalesce(text, F.lit(""))), BREAKS, " "))
     return F.when(inner == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), inner, F.lit(" ")))
 
 
@@ -52,19 +59,17 @@ def _step(s: Column, piece: Column, match: Column, rule: Column) -> Column:
 
 def detections(norm: Column, own: list[Rule]) -> Column:
     """Array of HIT: every match of every rule whose keyword the text holds."""
-    by_keyword: dict[str, list[Rule]] = {}
+    gates: dict[str, dict[str, list[Rule]]] = {}
     for r in own:
-        by_keyword.setdefault(r.keyword, []).append(r)
-    groups = F.array(
-        *[
-            F.struct(
-                F.lit(k).alias("keyword"),
-                F.array(*[F.struct(F.lit(r.rank).alias("rank"), F.lit(r.tier).alias("tier"), F.lit(r.label).alias("label"), F.lit(r.pattern).alias("pattern"), F.lit(r.confidence).alias("confidence")) for r in rs]).alias("rules"),
-            )
-            for k, rs in by_keyword.items()
-        ]
-    )
-    near = F.filter(groups, lambda g: F.contains(norm, g["keyword"]))
+        gates.setdefault(r.gate, {}).setdefault(r.keyword, []).append(r)
+
+    def group(keyword: str, rs: list[Rule]) -> Column:
+        made = [F.struct(F.lit(r.rank).alias("rank"), F.lit(r.tier).alias("tier"), F.lit(r.label).alias("label"), F.lit(r.pattern).alias("pattern"), F.lit(r.confidence).alias("confidence")) for r in rs]
+        return F.struct(F.lit(keyword).alias("keyword"), F.array(*made).alias("rules"))
+
+    grouped = F.array(*[F.struct(F.lit(gate).alias("gate"), F.array(*[group(k, rs) for k, rs in by_keyword.items()]).alias("groups")) for gate, by_keyword in gates.items()])
+    open_gates = F.filter(grouped, lambda x: F.contains(norm, x["gate"]))
+    near = F.filter(F.flatten(F.transform(open_gates, lambda x: x["groups"])), lambda g: F.contains(norm, g["keyword"]))
     tried = F.filter(F.flatten(F.transform(near, lambda g: g["rules"])), lambda r: F.rlike(norm, r["pattern"]))
     return F.flatten(F.transform(tried, lambda r: _matches(norm, r)))
 
@@ -103,18 +108,20 @@ def scan(docs: DataFrame, own: list[Rule] | None = None) -> DataFrame:
 
 def places(norm: Column, phrase: str) -> Column:
     """The words at which a phrase starts, each occurrence counted, without a regular expression; empty where it doesn't stand."""
-    words, want = F.split(norm, " "), phrase.split(" ")  # words[0] is the empty piece before the first blank
-    here = lambda i: F.get(words, i + 1) == want[0]
-    follow = lambda i: [F.get(words, i + 1 + k) == w for k, w in enumerate(want[1:], 1)]
+    want = phrase.split(" ")
+
+    def found(words: Column) -> Column:  # words[0] is the empty piece before the first blank
+        def match(i: Column) -> Column:
+            ok = F.get(words, i + 1) == want[0]
+            for k, w in enumerate(want[1:], 1):
+                ok = ok & (F.get(words, i + 1 + k) == w)
+            return F.coalesce(ok, F.lit(False))
 
-    def match(i: Column) -> Column:
-        ok = here(i)
-        for f in follow(i):
-            ok = ok & f
-        return F.coalesce(ok, F.lit(False))
+        return F.filter(F.sequence(F.lit(0), F.size(words) - 3), match)
 
     none = F.lit([]).cast("array<int>")
-    return F.when(F.contains(norm, F.lit(f" {phrase} ")), F.filter(F.sequence(F.lit(0), F.size(words) - 3), match)).otherwise(none)
+    # a transform over one array binds it, so that the text is split once and not for every word
+    return F.when(F.contains(norm, F.lit(f" {phrase} ")), F.flatten(F.transform(F.array(F.split(norm, " ")), found))).otherwise(none)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
