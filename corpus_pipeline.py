@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from tessera.llm import decontaminate, line_dedup, mixing, quality, simhash
 from tessera.llm.common import table, with_checkpoint_dir
 
-#: Near-duplicate stage: shingles of five words; three of 64 bits, which is a similarity of far more than 0.8.
+#: Near-duplicate stage: shingles of five words, of which two texts must share MIN_SIMILARITY (Jaccard); 15 of 64 bits, as pairs of that similarity differ in about 10.
 SHINGLE_WORDS = 5
-MAX_BITS = 3
+MAX_BITS = 15
+MIN_SIMILARITY = 0.8
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    return simhash.drop_near_duplicates(docs, SHINGLE_WORDS, MAX_BITS)
+    return simhash.drop_near_duplicates(docs, SHINGLE_WORDS, MAX_BITS, min_similarity=MIN_SIMILARITY)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -258,3 +258,35 @@ def test_permutation(spark):
         p = mixing.permute(F.col("id"), F.lit(n).cast("long"), F.lit(3).cast("long"))
         r = spark.range(n).select("id", p.alias("p")).withColumn("back", mixing.permute_inverse(F.col("p"), F.lit(n).cast("long"), F.lit(3).cast("long"))).collect()
         assert sorted(x["p"] for x in r) == list(range(n)) and all(x["back"] == x["id"] for x in r)
+
+
+def test_near_copies_of_similarity_080_go(spark):
+    """Against all pairs by their shingle sets; 3 bits, the budget before, reach hardly any of these."""
+    import random
+
+    import corpus_pipeline as cp
+
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    texts = []
+    for _ in range(60):
+        base = words(rng.randrange(100, 400))
+        texts.append(base)
+        for changes in (1, 2, 4, 8):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), changes):
+                copy[at] = "changed" + str(rng.randrange(10**6))
+            texts.append(copy)
+    texts += [words(100) for _ in range(40)] + [[], ["one"], ["one"]]
+    sets = [{tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} if t else set() for t in texts]
+    root = list(range(len(texts)))
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for i, j in pairs:
+        a, b = sorted((root[i], root[j]))
+        root = [a if x == b else x for x in root]
+    df = spark.createDataFrame([(i, " ".join(t), "x") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in cp.near_dedup(spark, df, "").collect()}
+    assert len(pairs) > 100
+    assert set(root) <= kept  # nothing goes that isn't similar enough
+    assert len(kept) <= 1.02 * len(set(root))
+    assert len(kept - set(root)) <= 0.02 * len(set(root))
