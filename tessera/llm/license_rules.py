@@ -30,13 +30,17 @@ FAMILIES: list[tuple[str, str, list[str]]] = [
     ("mit", "mit", ["(?:the )?mit license", "mit x11 license", "mit"]),
     ("mit", "expat", ["expat license", "expat"]),
     ("mit", "permission is hereby granted free of charge", ["permission is hereby granted free of charge to any person obtaining a copy of this software"]),
-    ("bsd-2-clause", "bsd", ["(?:simplified |freebsd )?(?:bsd 2 clause|2 clause bsd|two clause bsd)(?: license)?", "simplified bsd license", "freebsd license"]),
+    ("bsd-2-clause", "bsd", ["(?:simplified |freebsd )?(?:bsd 2 clause|2 clause bsd|two clause bsd)(?: license)?", "simplified bsd license"]),
+    ("bsd-2-clause", "freebsd", ["freebsd license"]),
     ("bsd-3-clause", "bsd", ["(?:bsd 3 clause|3 clause bsd|three clause bsd)(?: license)?", "(?:new|modified|revised) bsd license"]),
     ("bsd-4-clause", "bsd", ["(?:bsd 4 clause|4 clause bsd|four clause bsd)(?: license)?", "(?:original|old) bsd license"]),
-    ("bsd-zero", "bsd", ["(?:bsd zero clause|zero clause bsd|0bsd)(?: license)?"]),
-    ("bsd", "bsd", ["(?:berkeley software distribution|bsd) (?:style )?license"]),
+    ("bsd-zero", "bsd", ["(?:bsd zero clause|zero clause bsd)(?: license)?"]),
+    ("bsd-zero", "0bsd", ["0bsd(?: license)?"]),
+    ("bsd", "bsd", ["bsd (?:style )?license"]),
+    ("bsd", "berkeley", ["berkeley software distribution (?:style )?license"]),
     ("bsd", "redistribution and use in source and binary forms", ["redistribution and use in source and binary forms with or without modification are permitted"]),
-    ("isc", "isc", ["isc license", "internet systems consortium license"]),
+    ("isc", "isc", ["isc license"]),
+    ("isc", "internet systems consortium", ["internet systems consortium license"]),
     ("mpl-2.0", "mozilla", ["mozilla public license (?:v2|(?:version|v) 2(?: 0)?|2 0)"]),
     ("mpl-1.1", "mozilla", ["mozilla public license (?:(?:version|v) )?1 1"]),
     ("mpl", "mozilla", ["mozilla public license"]),
@@ -82,7 +86,7 @@ _TERMS = "(?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
 #: Tier, confidence, what any match holds besides the keyword, what stands before the name.
 CONTEXTS: list[tuple[int, float, str, str]] = [
     (0, 1.0, " spdx license identifier ", "spdx license identifier "),
-    (1, 0.95, "ed under ", f"(?:is |are )?licen[sc]ed (?:to you )?under {_TERMS}"),
+    (1, 0.95, " under ", f"(?:is |are )?licen[sc]ed (?:to you )?under {_TERMS}"),
     (1, 0.95, " under ", f"(?:released|distributed|published|available|provided|redistributed|modified) (?:freely )?under {_TERMS}"),
     (2, 0.85, " license ", "license "),
     (2, 0.85, " licence ", "licence "),
@@ -103,8 +107,8 @@ class Rule:
 
 
 def weak_name(name: str) -> bool:
-    """Whether a name pattern can be one word."""
-    return " " not in name.replace("(?: ", "(?:")
+    """Whether a name pattern can be one word; 0bsd names nothing else and isn't weak."""
+    return " " not in name.replace("(?: ", "(?:") and not name.startswith("0bsd")
 
 
 def _gate(gate: str, name: str) -> str:

@@ -91,6 +91,54 @@ def test_licence_rules_suppression(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def texts_of(pattern):
+    """Every text that a rule's pattern matches."""
+
+    def alternatives(i):
+        out, cur = [], [""]
+        while i < len(pattern) and pattern[i] != ")":
+            if pattern[i] == "|":
+                out, cur, i = out + cur, [""], i + 1
+                continue
+            if pattern.startswith("(?:", i):
+                part, i = alternatives(i + 3)
+                i += 1
+            elif pattern[i] == "[":
+                part, i = list(pattern[i + 1 : pattern.index("]", i)]), pattern.index("]", i) + 1
+            else:
+                part, i = [pattern[i]], i + 1
+            if i < len(pattern) and pattern[i] == "?":
+                part, i = ["", *part], i + 1
+            cur = [a + b for a in cur for b in part]
+        return out + cur, i
+
+    pattern = pattern.removeprefix("(?<= )").removesuffix("(?= )")
+    return alternatives(0)[0]
+
+
+def test_licence_gates_are_implied():
+    for r in rules():
+        for t in texts_of(r.pattern):
+            assert re.fullmatch(r.pattern.removeprefix("(?<= )").removesuffix("(?= )"), t)
+            assert r.gate in f" {t} " and r.keyword in f" {t} ", (r, t)
+
+
+def test_licence_scan_is_the_same_without_gates(spark):
+    from dataclasses import replace
+
+    texts = sorted({pick(texts_of(r.pattern), key=len) for r in rules() for pick in (min, max)})
+    said = {
+        "licensed to you under MIT": ("mit", 0.95), "licensed to you under Expat": ("mit", 0.95), "licensed to you under MPL 2.0": ("mpl", 0.95),
+        "SPDX-License-Identifier: 0BSD": ("bsd-zero", 1.0), "0BSD": ("bsd-zero", 0.7),
+        "FreeBSD License": ("bsd-2-clause", 0.7), "Berkeley Software Distribution License": ("bsd", 0.7), "Internet Systems Consortium License": ("isc", 0.7),
+    }
+    df = spark.createDataFrame(list(enumerate([*said, *texts])), "doc_id long, text string")
+    got = {r["doc_id"]: r["detections"] for r in licenses.scan(df).collect()}
+    assert got == {r["doc_id"]: r["detections"] for r in licenses.scan(df, [replace(r, gate=" ", keyword=" ") for r in rules()]).collect()}
+    for i, (text, (label, sure)) in enumerate(said.items()):
+        assert (label, sure) in [(d["label"], d["confidence"]) for d in got[i]], text
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "a <|end|> & [INST] <b> &l; &amp;"), (1, 1, "assistant", "x\ny"), (1, 2, "assistant", None), (2, 0, None, "q"), (None, 3, "ro\nle", "<|turn|>"), (3, None, "user", "t"), (3, None, "user", "t"), (3, 1, "assistant", "long " * 50_000)]
     t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
