@@ -5,11 +5,12 @@ table; the mean of the rows of all subwords of the whole text goes through a lin
 are learned together by stochastic gradient descent in numpy. A part of the sample is held back to fit a temperature, so
 that scores are probabilities, and the least score at which accepted texts reach the wanted accuracy.
 
-Once learned, table times layer is one small matrix with a score for each subword and language, so that a text costs
-a histogram of its hashed subwords and one product.
+A text costs a histogram of its hashed subwords and two small products. Every language of the labelled rows can be predicted, however many
+there are: what is broadcast is the table (BUCKETS by DIM) and one row of DIM for each language.
 
-The fit uses a bounded sample: SAMPLE_PER_LANGUAGE texts of a language, chosen by a hash of doc_id after one count of
-the languages. Workers turn them into histograms before they reach the driver, so that text length does not matter.
+The fit uses a bounded sample: SAMPLE_PER_LANGUAGE texts of a language, fewer where that would make more than SAMPLE in all (but one at
+least), chosen by a hash of doc_id after one count of the languages. Workers turn them into histograms before they reach the driver, so that
+text length does not matter.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ BUCKETS = 1 << 14
 GRAMS = (2, 3)
 DIM = 16
 SAMPLE_PER_LANGUAGE = 400
-MAX_LANGUAGES = 512
+SAMPLE = 60_000
 EPOCHS = 12
 RATE = 20.0
 TARGET_ACCURACY = 0.99
@@ -89,10 +90,10 @@ def histogram(text: str | None, buckets: int = BUCKETS, grams: tuple[int, ...] =
 
 
 class LanguageModel:
-    """scores: bucket by language, the embedding table times the linear layer; then bias, temperature and least score."""
+    """emb: bucket by DIM; layer: DIM by language; then bias, temperature and least score."""
 
-    def __init__(self, languages: list[str], scores: np.ndarray, bias: np.ndarray, temperature: float, reject_below: float) -> None:
-        self.languages, self.scores, self.bias, self.temperature, self.reject_below = languages, scores.astype(np.float32), bias, temperature, reject_below
+    def __init__(self, languages: list[str], emb: np.ndarray, layer: np.ndarray, bias: np.ndarray, temperature: float, reject_below: float) -> None:
+        self.languages, self.emb, self.layer, self.bias, self.temperature, self.reject_below = languages, emb.astype(np.float32), layer.astype(np.float32), bias, temperature, reject_below
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, calibrated probability, whether the caller should reject it."""
@@ -100,7 +101,7 @@ class LanguageModel:
         if h is None or not self.languages:
             return UNDETERMINED, 0.0, True
         used = np.nonzero(h)[0]
-        z = (h[used].astype(np.float64) @ self.scores[used] / h.sum() + self.bias) / self.temperature
+        z = (h[used].astype(np.float64) @ self.emb[used] / h.sum() @ self.layer + self.bias) / self.temperature
         p = np.exp(z - z.max())
         p /= p.sum()
         best = int(p.argmax())
@@ -110,12 +111,15 @@ class LanguageModel:
 def sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> pd.DataFrame:
     """doc_id, lang and sparse subword counts of up to per_language texts of each language."""
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("lang") != UNDETERMINED))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not counts:
+    counts = known.groupBy("lang").count()
+    languages = counts.count()
+    if not languages:
         return pd.DataFrame({"doc_id": [], "lang": [], "at": [], "n": []})
+    wanted = max(1, min(per_language, SAMPLE // languages))
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, 1.5 * per_language / n))])
-    near = known.where(place < F.coalesce(share[F.col("lang")], F.lit(0.0))).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", place.alias("place"), "text")
+    # a language of at most 16 texts offers all of them, so that none goes unlearned by the luck of the hash
+    share = counts.select("lang", F.when(F.col("count") <= 16, F.lit(1.0)).otherwise(F.greatest(1.5 * wanted / F.col("count"), 16 / F.col("count"))).alias("share"))
+    near = known.join(share, "lang").where(place < F.col("share")).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", place.alias("place"), "text")
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -128,17 +132,18 @@ def sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> pd.DataF
             yield pd.DataFrame(rows, columns=["doc_id", "lang", "place", "at", "n"])
 
     got = near.mapInPandas(counted, "doc_id long, lang string, place double, at array<int>, n array<float>").toPandas()
-    return got.sort_values(["place", "doc_id"], kind="stable").groupby("lang", sort=True).head(per_language).reset_index(drop=True)
+    return got.sort_values(["place", "doc_id"], kind="stable").groupby("lang", sort=True).head(wanted).reset_index(drop=True)
 
 
 def train(rows: pd.DataFrame, seed: int = 11) -> LanguageModel:
     """Every fifth row of the sample, in hash order, calibrates; the others are learned from."""
     languages = sorted(rows["lang"].unique()) if len(rows) else []
     if not languages:
-        return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 1.0)
-    y = np.array([languages.index(x) for x in rows["lang"]])
+        return LanguageModel([], np.zeros((BUCKETS, DIM)), np.zeros((DIM, 0)), np.zeros(0), 1.0, 1.0)
+    y = np.searchsorted(np.array(languages, dtype=object), rows["lang"].to_numpy(dtype=object))
     at, n = rows["at"].tolist(), [np.asarray(c, dtype=np.float32) / np.sum(c) for c in rows["n"]]
     held = np.arange(len(rows)) % 5 == 4 if len(rows) >= 10 else np.zeros(len(rows), dtype=bool)
+    held &= ~np.isin(y, np.setdiff1d(y, y[~held]))  # every language is learned from at least one text
     rng = np.random.default_rng(seed)
     emb = (rng.standard_normal((BUCKETS, DIM)) / math.sqrt(DIM)).astype(np.float32)
     layer, bias = np.zeros((DIM, len(languages)), dtype=np.float32), np.zeros(len(languages), dtype=np.float32)
@@ -170,9 +175,8 @@ def train(rows: pd.DataFrame, seed: int = 11) -> LanguageModel:
             layer -= np.float32(rate) * (h.T @ g)
             bias -= np.float32(0.02 * rate) * g.sum(0)
             emb[cols] -= np.float32(rate) * (x.T @ back)
-    scores = emb @ layer
     check = np.nonzero(held)[0] if held.any() else own
-    z = np.concatenate([dense(check[k : k + 64]) @ scores + bias for k in range(0, len(check), 64)]).astype(np.float64)
+    z = np.concatenate([dense(check[k : k + 64]) @ emb @ layer + bias for k in range(0, len(check), 64)]).astype(np.float64)
     doubt = 1 / (len(z) + 2)  # a check without an error doesn't make scores certain
 
     def loss(t: float) -> float:
@@ -184,7 +188,7 @@ def train(rows: pd.DataFrame, seed: int = 11) -> LanguageModel:
     order = np.argsort(-p.max(1), kind="stable")
     right = np.cumsum(p.argmax(1)[order] == y[check][order]) / np.arange(1, len(order) + 1)
     good = np.nonzero(right >= TARGET_ACCURACY)[0]
-    return LanguageModel(languages, scores, bias, temperature, float(p.max(1)[order][good[-1]]) if len(good) else 1.0)
+    return LanguageModel(languages, emb, layer, bias, temperature, float(p.max(1)[order][good[-1]]) if len(good) else 1.0)
 
 
 def identify(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
@@ -195,7 +199,7 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     ignored, an empty table gives no row. Ties in the sample's order are broken by doc_id.
     """
     model = train(sample(docs if labelled is None else labelled))
-    held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS times MAX_LANGUAGES floats at most
+    held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS times DIM floats and DIM for each language
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
