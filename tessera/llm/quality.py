@@ -1,9 +1,10 @@
 """Text quality without labels: overlapping heuristic labellers, a label model, and a hashed linear scorer.
 
-1. Each labeller looks at one trait of a whole text and votes good, bad or abstains.
-2. Expectation-maximisation over the votes estimates the share of good texts and, for each labeller, how it votes on
-   good and on bad ones. It needs only the number of texts with each pattern of votes, so it uses all of them; there
-   are at most 3 ** len(LABELLERS) patterns, however many texts.
+1. Each labeller looks at one trait of a whole text and votes good, bad or abstains. Labellers overlap: what is wrong with a text shows in
+   several traits, so that their agreement tells how far each of them can be trusted.
+2. Expectation-maximisation over the votes estimates the share of good texts and, for each labeller, how often it votes bad on
+   good and on bad ones, both freely (under a weak prior). A labeller that often stands alone with its bad votes loses them that way. It needs
+   only the number of texts with each pattern of votes, so it uses all of them; there are at most 3 ** len(LABELLERS) patterns, however many texts.
 3. The posterior probabilities are the labels from which a logistic regression over hashed features is trained, on a
    bounded sample: up to SAMPLE_PER_PATTERN texts of a pattern and SAMPLE in all, weighted to stand for the others.
 4. The scorer judges every text; below THRESHOLD it is rejected.
@@ -12,6 +13,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -27,52 +29,90 @@ BUCKETS = 1 << 12
 SAMPLE = 8_000
 SAMPLE_PER_PATTERN = 800
 THRESHOLD = 0.5
-EM_ROUNDS = 60
-MAX_FALSE_ALARMS = 0.001  # the thresholds are set so that a good text hardly ever gets a given labeller's bad vote
+EM_ROUNDS = 200
+PRIOR_VOTES = 4.0  # as many imagined votes of each labeller on good and on bad texts
+PRIOR_BAD = (0.5, 0.05)  # share of bad votes among them, on bad and on good texts
 EPOCHS = 400
 RATE = 0.05
 CACHE = 200_000
 
 _LETTER = re.compile(r"[^\W\d_]")
 #: Marks that ordinary prose holds.
-_PROSE = set(".,;:'\"?!()-’“”«»¿¡…|")
-_EDGES = ".,;:!?"
-_OTHER, _SMALL, _CAPITAL, _ODD = 0, 1, 2, 3
+_PROSE = set(".,;:'\"?!()-–—’‘“”«»„¿¡…%&/")
+_EDGES = "".join(_PROSE)
+_STOPS = ".!?…:。！？।؟"
+_OTHER, _SMALL, _CAPITAL, _MARK, _ODD, _SPACE = range(6)
 _kinds: np.ndarray | None = None
 
 
 def _alphabet() -> np.ndarray:
-    """For each code point: small letter (or one without case), capital, odd character, other."""
+    """For each code point: small letter (or one without case), capital, mark of prose, odd character, white space, other."""
     global _kinds
     if _kinds is None:
-        known = lambda c: (_CAPITAL if c.isupper() else _SMALL) if c.isalpha() else _OTHER if c.isalnum() or c.isspace() or c in _PROSE else _ODD
+
+        def known(c: str) -> int:
+            if c.isalpha():
+                return _CAPITAL if c.isupper() else _SMALL
+            return _SPACE if c.isspace() else _OTHER if c.isalnum() or unicodedata.category(c)[0] == "M" else _MARK if c in _PROSE else _ODD
+
         _kinds = np.array([known(chr(c)) for c in range(0x110000)], dtype=np.uint8)
     return _kinds
 
 
-def _repeats(words: list[str]) -> tuple[int, int]:
-    """How many words equal the one before; how many different runs of three words there are. By Python's word hashes."""
+class _Looks(dict):
+    """word: 1 if it holds a letter, plus 2 if it's letters within marks of prose only, plus 4 if it ends a sentence, plus 8 if that's by an
+    exclamation. Starts anew when full."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        core = word.strip(_EDGES)
+        letters = word.isalpha() or bool(_LETTER.search(word))
+        clean = letters and (core.isalpha() or core.replace("-", "").replace("'", "").replace("’", "").isalpha()) and len(word) - len(core) <= 3
+        tail = word.rstrip("\"'”’»)")[-1:]
+        self[word] = got = letters + 2 * clean + 4 * (tail in _STOPS and tail != "") + 8 * (tail == "!" or tail == "！")
+        return got
+
+
+_looks = _Looks()
+
+
+def _repeats(words: list[str]) -> tuple[int, int, int]:
+    """How many words equal the one before; how many different runs of three words there are; how often the commonest word stands. By Python's
+    word hashes, within one text."""
     h = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+    echoes = int((h[1:] == h[:-1]).sum())
     runs = h[:-2] * np.uint64(0x9E3779B97F4A7C15) + h[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:] if len(h) > 2 else h[:0]
-    return int((h[1:] == h[:-1]).sum()), len(np.unique(runs))
+    h.sort()
+    ends = np.nonzero(h[1:] != h[:-1])[0] if len(h) else h[:0]
+    most = int(np.diff(np.concatenate([[-1], ends, [len(h) - 1]])).max()) if len(h) else 0
+    return echoes, len(np.unique(runs)), most
 
 
 def traits(text: str) -> dict[str, float]:
-    """What the labellers look at; rates are by word or by character of the whole text."""
+    """What the labellers look at; rates are by word, line or character of the whole text."""
     words = text.split()
     n, lines = max(1, len(words)), [x for x in text.split("\n") if x.strip()]
-    kinds = np.bincount(_alphabet()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)], minlength=4)
-    letters = int(kinds[_SMALL] + kinds[_CAPITAL])
-    echoes, runs = _repeats(words)
+    kinds = np.bincount(_alphabet()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)], minlength=6)
+    letters, solid = int(kinds[_SMALL] + kinds[_CAPITAL]), max(1, len(text) - int(kinds[_SPACE]))
+    looks = np.bincount(np.fromiter(map(_looks.__getitem__, words), np.int64, len(words)), minlength=16)
+    have = lambda bit: int(looks[[k for k in range(16) if k & bit]].sum())
+    stops = have(4)
+    echoes, runs, most = _repeats(words)
     return {
         "words": len(words),
-        "odd": kinds[_ODD] / max(1, len(text)),
-        "bars": text.count("|") / n,
+        "symbols": kinds[_ODD] / n,
+        "marks": (kinds[_ODD] + kinds[_MARK]) / solid,
+        "alphabetic": have(1) / n,
+        "clean": have(2) / n,
         "letters": letters,
         "upper": kinds[_CAPITAL] / max(1, letters),
-        "shouts": text.count("!!") / n,
+        "stops": stops,
+        "sentence": n / max(1, stops),
+        "exclaimed": have(8) / max(1, stops),
         "echoes": echoes / n,
         "variety": runs / max(1, len(words) - 2),
+        "most": most / n,
         "lines": len(lines),
         "line_variety": len(set(lines)) / max(1, len(lines)),
         "word_length": sum(map(len, words)) / n,
@@ -83,16 +123,21 @@ def _vote(bad: bool, good: bool) -> int:
     return BAD if bad else GOOD if good else ABSTAIN
 
 
-#: Name and rule. A trait that a text is too short for makes the labeller abstain.
+#: Name and rule, after the filters published for web corpora (symbols by word, alphabetic words, stops, repeated lines and phrases, word
+#: lengths). A trait that a text is too short for makes the labeller abstain.
 LABELLERS = {
-    "odd_characters": lambda t: _vote(t["odd"] > 0.03, t["odd"] < 0.01),
-    "bars": lambda t: _vote(t["bars"] > 0.15, t["bars"] < 0.02),
+    "symbols": lambda t: _vote(t["symbols"] > 0.1, t["symbols"] < 0.02),
+    "marks": lambda t: ABSTAIN if t["words"] < 8 else _vote(t["marks"] > 0.15, t["marks"] < 0.08),
+    "alphabetic_words": lambda t: _vote(t["alphabetic"] < 0.8, t["alphabetic"] > 0.9),
+    "clean_words": lambda t: ABSTAIN if t["words"] < 4 else _vote(t["clean"] < 0.7, t["clean"] > 0.85),
     "capitals": lambda t: ABSTAIN if t["letters"] < 40 else _vote(t["upper"] > 0.4, t["upper"] < 0.15),
-    "shouting": lambda t: _vote(t["shouts"] > 0.1, t["shouts"] < 0.01),
+    "exclamations": lambda t: ABSTAIN if t["stops"] < 4 else _vote(t["exclaimed"] > 0.5, t["exclaimed"] < 0.2),
+    "sentence_length": lambda t: ABSTAIN if t["words"] < 20 else _vote(t["sentence"] < 2.5 or t["sentence"] > 80, 4 < t["sentence"] < 40),
     "echoes": lambda t: ABSTAIN if t["words"] < 8 else _vote(t["echoes"] > 0.15, t["echoes"] < 0.05),
-    "variety": lambda t: ABSTAIN if t["words"] < 20 else _vote(t["variety"] < 0.25, t["variety"] > 0.6),
-    "line_variety": lambda t: ABSTAIN if t["lines"] < 5 else _vote(t["line_variety"] < 0.25, t["line_variety"] > 0.8),
-    "word_length": lambda t: _vote(t["word_length"] > 20, 2 <= t["word_length"] <= 12),
+    "commonest_word": lambda t: ABSTAIN if t["words"] < 20 else _vote(t["most"] > 0.3, t["most"] < 0.15),
+    "variety": lambda t: ABSTAIN if t["words"] < 20 else _vote(t["variety"] < 0.3, t["variety"] > 0.6),
+    "line_variety": lambda t: ABSTAIN if t["lines"] < 5 else _vote(t["line_variety"] < 0.5, t["line_variety"] > 0.8),
+    "word_length": lambda t: _vote(not 2 <= t["word_length"] <= 20, 3 <= t["word_length"] <= 12),
 }
 
 
@@ -107,28 +152,27 @@ def votes(text: str | None) -> str:
 def label_model(counts: dict[str, int]) -> dict[str, float]:
     """For each pattern of votes the posterior probability that such a text is good, by expectation-maximisation.
 
-    Labellers are taken to be independent given the class; an abstention says nothing. It starts from the guess that a bad vote means a bad text, which
-    also settles which of the two classes is called good.
+    Labellers are taken to be independent given the class; an abstention says nothing. It starts from the guess that two bad votes make a text bad,
+    that none makes it good and that one leaves it open, which also settles which of the two classes is called good.
     """
     if not counts:
         return {}
     patterns = sorted(counts)
     v = np.array([[int(c) for c in p] for p in patterns])
     n = np.array([counts[p] for p in patterns], dtype=float)
-    good = np.where((v == BAD).any(1), 0.1, 0.9)
+    is_bad, is_good = (v == BAD).astype(float), (v == GOOD).astype(float)
+    good = np.choose(np.minimum(is_bad.sum(1).astype(int), 2), [0.99, 0.5, 0.01])
     for _ in range(EM_ROUNDS):
-        prior = (n @ good + 1) / (n.sum() + 2)
-        log = np.stack([np.full(len(n), np.log(1 - prior)), np.full(len(n), np.log(prior))])
-        for k in range(v.shape[1]):
-            for c, belief in enumerate((1 - good, good)):
-                cast = np.bincount(v[:, k], weights=n * belief, minlength=3) + 0.1
-                bad = cast[BAD] / (cast[BAD] + cast[GOOD])
-                bad = min(bad, MAX_FALSE_ALARMS) if c else bad
-                log[c] += np.log([bad, 1.0, 1 - bad])[v[:, k]]
+        log = np.zeros((2, len(n)))
+        for c, belief in enumerate((1 - good, good)):
+            cast = (n * belief) @ is_bad + PRIOR_VOTES * PRIOR_BAD[c]
+            bad = cast / (cast + (n * belief) @ is_good + PRIOR_VOTES * (1 - PRIOR_BAD[c]))
+            log[c] = is_bad @ np.log(bad) + is_good @ np.log(1 - bad) + np.log((n @ belief + 1) / (n.sum() + 2))
         new = 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
-        if np.abs(new - good).max() < 1e-9:
-            break
+        settled = np.abs(new - good).max() < 1e-9
         good = new
+        if settled:
+            break
     return dict(zip(patterns, good.tolist(), strict=True))
 
 
@@ -158,7 +202,7 @@ def features(text: str, shapes: _Shapes) -> tuple[np.ndarray, np.ndarray]:
     words = text.split()
     n = max(1, len(words))
     counts = np.bincount(np.fromiter(map(shapes.__getitem__, words), np.int64, len(words)), minlength=BUCKETS).astype(float)
-    echoes, runs = _repeats(words)
+    echoes, runs, _ = _repeats(words)
     counts[_ECHO] += echoes
     counts[_AGAIN] += max(0, len(words) - 2) - runs
     lines = [x for x in text.split("\n") if x.strip()]
@@ -255,7 +299,8 @@ def score_column(docs: DataFrame, model: Scorer, text: str = "text"):
 def judge(docs: DataFrame, model: Scorer | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """docs with the columns quality_score and kept added (replacing columns of those names). Fits a model if none is given.
 
-    Null, empty and blank texts score 0 and are not kept. Repeated rows come back as often as they came in (each counts as a text
+    Null, empty and blank texts score 0 and are not kept; texts of any length are judged whole. A score equal to the threshold is kept, and equal
+    texts score the same. Repeated rows come back as often as they came in (each counts as a text
     in the label model); rows without doc_id are scored, but not learned from; an empty table gives no row.
     """
     model = model or fit(docs)

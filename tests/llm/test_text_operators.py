@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,6 +214,65 @@ def test_quality(spark):
     assert quality.judge(d.limit(0)).count() == 0
 
 
-def test_label_model_trusts_a_lone_bad_vote():
-    good = quality.label_model({"22222222": 900, "02222222": 50, "20222222": 50, "22220012": 40, "11111111": 5})
-    assert good["22222222"] > quality.THRESHOLD > good["02222222"] and good["22220012"] < 0.1
+def test_label_model_frees_texts_that_only_a_poor_labeller_calls_bad():
+    """The first labeller votes bad on a tenth of the good texts and on a tenth of the bad ones: its lone bad vote doesn't make a text bad,
+    while the second one's, which otherwise stands with the others', does."""
+    import itertools
+
+    k, counts, truth = len(quality.LABELLERS), {}, {}
+    for bad in (False, True):
+        rates = [0.1, *[0.5 if bad else 0.002] * 3]
+        for cast in itertools.product((0, 1), repeat=4):
+            n = (2_000 if bad else 20_000) * np.prod([r if c else 1 - r for r, c in zip(rates, cast, strict=True)])
+            p = "".join(str(quality.BAD if c else quality.GOOD) for c in cast) + str(quality.ABSTAIN) * (k - 4)
+            counts[p] = counts.get(p, 0) + round(float(n))
+            truth.setdefault(p, [0, 0])[bad] += n
+    good = quality.label_model({p: n for p, n in counts.items() if n})
+    for p, belief in good.items():
+        share = truth[p][0] / sum(truth[p])
+        assert abs(belief - share) < 0.1, (p, belief, share)
+    lone = "0222" + "1" * (k - 4)
+    assert good[lone] > quality.THRESHOLD and good["2000" + "1" * (k - 4)] < 0.01 and good["2022" + "1" * (k - 4)] < quality.THRESHOLD
+    assert any((str(quality.BAD) not in p) != (g >= quality.THRESHOLD) for p, g in good.items())
+
+
+def test_quality_scores_ignore_clashing_columns_and_judge_whole_texts(spark):
+    long_junk = EN.capitalize() + ". " + " | ".join(EN.split() * 400)
+    rows = [(i, EN.capitalize() + "." if i % 4 else " | ".join(EN.split() * 3), 0.5, True) for i in range(80)] + [(90, long_junk, None, None), (90, long_junk, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, quality_score double, kept boolean")
+    got = [(r["doc_id"], r["kept"], r["quality_score"]) for r in quality.judge(d).collect()]
+    assert len(got) == 82 and all(kept == bool(i % 4) for i, kept, _ in got if i < 80)
+    assert [(i, kept) for i, kept, _ in got if i == 90] == [(90, False)] * 2 and len({x for i, _, x in got if i == 90}) == 1
+
+
+def test_toxicity_places_what_it_finds(spark):
+    import random
+
+    rnd = random.Random(1)
+    fill = lambda: " ".join(rnd.choices(EN.split(), k=8)) + "."
+    rows = [(i, " ".join([fill(), "what a blorf day." if i % 3 == 0 else fill(), "such grumph here." if i % 3 == 0 else fill()]), "en") for i in range(240)]
+    lab = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)], "doc_id long, toxic int")
+    d = docs(spark, [*rows, (300, (fill() + " ") * 5000 + "what a blorf day. such grumph here.", "en"), (300, None, "en")])
+    model = toxicity.fit(d, lab)
+    got = toxicity.score_documents(d, model).collect()
+    assert all((r["score"] >= toxicity.THRESHOLD) == bool(r["offending"]) for r in got)
+    hit = [r for r in got if r["doc_id"] == 300 and r["offending"]]
+    assert len(hit) == 1 and hit[0]["score"] >= 0.7  # the whole of a very long text is read
+
+
+def test_toxicity_weights_the_sample_to_the_share_of_labelled_documents(spark):
+    """With both classes cut to the same number, the model has the table's share and not the sample's."""
+    rows = [(i, "blorf here." if i % 10 == 0 and i % 20 else "calm words here.", "en") for i in range(400)]
+    lab = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(400)], "doc_id long, toxic int")
+    got, share = toxicity.sample(docs(spark, rows), lab, per_class=40)
+    assert share == 0.1 and got["toxic"].value_counts().to_dict() == {0: 40, 1: 40}
+
+
+def test_language_knows_every_language(spark):
+    """600 languages, of which each has its own letters; the hot one has most rows."""
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 600)]
+    rows = [(10 * k + j, (c + " ") * 3 + c * 4, f"l{k:03}") for k, c in enumerate(letters) for j in range(3)] + [(10_000 + j, EN, "en") for j in range(300)]
+    got = language.identify(docs(spark, rows)).collect()
+    want = {i: lang for i, _, lang in rows}
+    assert language.train(language.sample(docs(spark, rows))).languages == sorted(set(want.values()))
+    assert sum(r["lang_pred"] == want[r["doc_id"]] for r in got) > 0.6 * len(rows)
