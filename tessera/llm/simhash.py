@@ -335,16 +335,25 @@ def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, seed: int = SEED, min_similarity: float | None = None) -> DataFrame:
-    """One document of each group: the one whose doc_id names it; columns as they are. Of repeated rows of a doc_id one stays.
+    """One document of each group: the one whose doc_id names it; columns as they are.
 
-    With min_similarity, groups are those of similar_documents. Rows without doc_id can't name a group and stay. The ids that go are joined to
-    the documents, never gathered.
+    A document is a doc_id with a text: of two texts under one doc_id each is judged by itself, and stays unless it's like a kept one. Repeated
+    rows of one document are copies, of which one stays. With min_similarity, groups are those of similar_documents. Rows without doc_id can't
+    name a group and stay; a null text is an empty one. The documents that go are joined, never gathered.
     """
-    with_id = docs.where("doc_id is not null")
-    found = near_duplicates(with_id, shingle_words, max_bits, seed) if min_similarity is None else similar_documents(with_id, shingle_words, max_bits, min_similarity, seed)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone_id")).distinct()
-    named = with_id.join(gone, docs["doc_id"].cast("long") == F.col("_gone_id"), "left_anti").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    doc, version = "__dedup_doc", "__dedup_version"
+    keyed = docs.withColumns({doc: F.col("doc_id").cast("long"), version: F.xxhash64(F.coalesce("text", F.lit("")))})
+    met = cut(keyed.where(F.col(doc).isNotNull()).groupBy(doc, version).agg(F.count("*").alias("rows")))
+    # a document's number is its doc_id; of several texts of one doc_id the other ones get a hash of both
+    several = met.groupBy(doc).agg(F.min(version).alias("least"), F.max(version).alias("most")).where("least <> most").select(doc, "least")
+    number = F.when(F.col("least").isNull() | (F.col("least") == F.col(version)), F.col(doc)).otherwise(F.xxhash64(doc, version))
+    named = keyed.where(F.col(doc).isNotNull()).select(doc, version, "text").join(several, doc, "left").select(number.alias("doc_id"), "text")
+    found = near_duplicates(named, shingle_words, max_bits, seed) if min_similarity is None else similar_documents(named, shingle_words, max_bits, min_similarity, seed)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("number")).distinct()
+    odd = cut(met.join(several, doc, "left").withColumn("number", number).join(gone.withColumn("gone", F.lit(True)), "number", "left").where("gone or rows > 1").select(doc, version, F.coalesce("gone", F.lit(False)).alias("gone")))
+    alone = keyed.join(odd, [doc, version], "left_anti")  # rows without doc_id too
+    repeated = keyed.join(odd.where("not gone"), [doc, version], "left_semi").dropDuplicates([doc, version])
+    return alone.unionByName(repeated).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

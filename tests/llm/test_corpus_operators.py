@@ -95,6 +95,18 @@ def test_simhash(spark):
     assert simhash.near_duplicates(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_texts_of_one_id_are_documents_of_their_own(spark):
+    """Two different texts under one doc_id both stay; repeated rows and copies under other ids go."""
+    long = [" ".join(random.Random(k).choices(WORDS, k=60)) for k in range(4)]
+    rows = [(1, long[0]), (1, long[1]), (1, long[0]), (2, long[1]), (3, long[2]), (3, long[2]), (4, None), (5, ""), (None, long[0]), (None, None)]
+    for similarity in (None, 0.8):
+        kept = sorted(((r["doc_id"] or 0, r["text"]) for r in simhash.drop_near_duplicates(docs(spark, rows), 3, 3, min_similarity=similarity).collect()), key=str)
+        # of long[1] the copy of the smaller number stays: under 1 or 2, as the second text of id 1 is numbered by a hash
+        both = [t for _, t in kept if t == long[1]]
+        assert len(both) == 1 and (1, long[0]) in kept and (3, long[2]) in kept and len([k for k in kept if k[0] == 3]) == 1
+        assert len([k for k in kept if k[0] in (4, 5)]) == 1 and (0, long[0]) in kept and (0, None) in kept and len(kept) == 6
+
+
 def test_embeddings(spark):
     rnd = np.random.default_rng(1)
     base = rnd.standard_normal((60, 16))
