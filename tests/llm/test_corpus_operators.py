@@ -265,6 +265,38 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0))[1].count() == 0
 
 
+def test_shard_counts_are_drawn(spark):
+    """Slots of a source in a shard have the mean and the variance of the hypergeometric distribution; every place is filled once, in several tasks."""
+    sizes = spark.createDataFrame([("a", 500_000), ("b", 300_000), ("c", 90_000), ("d", 70)], "source string, source_size long")
+    plan = mixing.targets(sizes)
+    got = mixing.slots(plan, block=64, shard_slots=100)
+    assert got.rdd.getNumPartitions() > 1
+    rows = got.collect()
+    assert len({(r["shard"], r["slot"]) for r in rows}) == len(rows) == len({(r["rank"], r["epoch"], r["block_index"]) for r in rows})
+    per = mixing.places(plan, 64).collect()
+    n, total = {r["rank"]: r["n"] for r in per}, sum(r["n"] for r in per)
+    shards = total // 100  # whole ones
+    for rank in (0, 1, 2):
+        counts = np.bincount([r["shard"] for r in rows if r["rank"] == rank and r["shard"] < shards], minlength=shards)
+        p = n[rank] / total
+        assert abs(counts.mean() - 100 * p) < 0.2
+        assert 0.7 < counts.var() / (100 * p * (1 - p) * (total - 100) / (total - 1)) < 1.4
+    for r in per:
+        tokens = sum(x["tokens"] for x in rows if x["rank"] == r["rank"])
+        assert tokens == r["wanted"]
+
+
+def test_mixing_many_sources_and_copies_without_id(spark):
+    rows = [(None, "w " * 50, "hot")] * 300 + [(i, "w " * (i % 40), f"s{i:04}") for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.taken(*mixing.mix(df, block=16, shard_slots=64)).collect()
+    took, want = {}, {}
+    for r in got:
+        took[r["source"]], want[r["source"]] = took.get(r["source"], 0) + r["taken"], r["target"]
+    assert len(got) == 1000 and all(abs(took[s] - want[s]) <= 1 for s in want)
+    assert all(r["taken"] <= 2 * r["size"] for r in got)
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 100):
         p = mixing.permute(F.col("id"), F.lit(n).cast("long"), F.lit(3).cast("long"))
