@@ -1,28 +1,29 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts and benchmark items are compared as words, in lower case and without marks. An item of m words may differ from a
+Texts and benchmark items are compared as words, in lower case and without marks; a letter of a script without blanks is a word. An item of m words may differ from a
 passage in up to floor(MAX_ERROR * m) edits of words. It is split into one piece more than that, so that at least one piece
 stands in the passage as it is. All pieces of all items are looked for at once (Aho-Corasick) in whole texts; around
 each hit, the window that can hold the item is verified with Myers' bit-parallel algorithm, in which one machine
 operation on a bit vector of the item's length advances a whole column of the edit-distance matrix.
 
-The benchmark is taken to the workers in blocks of BLOCK_CHARS characters at most, each with its own scan, so that
-what is broadcast is bounded however many items there are.
+The benchmark is taken to the workers in blocks of BLOCK_CHARS characters at most (an item that is longer is a block of its own). Each block
+has its own scan of the documents in tasks of its own, so that a worker holds one block at a time, however many items there are.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import cut, spaced, table
 
 MAX_ERROR = 0.2
-MIN_ITEM_WORDS = 5
+MIN_ITEM_WORDS = 1
 BLOCK_CHARS = 4_000_000
 
 _BREAK = re.compile(r"[\W_]+")
@@ -31,7 +32,8 @@ HITS = "array<struct<item_id: bigint, distance: int, start_word: int, end_word:
 
 def normalise(text: str | None) -> str:
     """Words parted by single blanks, one before and one after; a blank if there's none."""
-    words = _BREAK.sub(" ", (text or "").lower()).strip()
+    words = _BREAK.sub(" ", spaced((text or "").lower())).strip()
+    words = " ".join(words.split()) if "  " in words else words
     return f" {words} " if words else " "
 
 
@@ -61,16 +63,16 @@ def myers(pattern: list[str], text: list[str]) -> tuple[int, int]:
 
 
 class Matcher:
-    """items: (item_id, text). Those of fewer than MIN_ITEM_WORDS words are too short to tell a passage by and are never found."""
+    """items: (item_id, text). Those of fewer than min_words words aren't looked for."""
 
-    def __init__(self, items: list[tuple[int, str | None]], max_error: float = MAX_ERROR) -> None:
-        self.items, self.max_error, self.automaton = items, max_error, None
+    def __init__(self, items: list[tuple[int, str | None]], max_error: float = MAX_ERROR, min_words: int = MIN_ITEM_WORDS) -> None:
+        self.items, self.max_error, self.min_words, self.automaton = items, max_error, max(1, min_words), None
 
     def __getstate__(self) -> tuple:
-        return self.items, self.max_error
+        return self.items, self.max_error, self.min_words
 
     def __setstate__(self, state: tuple) -> None:
-        self.items, self.max_error = state
+        self.items, self.max_error, self.min_words = state
         self.automaton = None
 
     def _build(self) -> None:
@@ -80,7 +82,7 @@ class Matcher:
         self.budget = [int(self.max_error * len(w)) for w in self.words]
         pieces: dict[str, list[tuple[int, int]]] = {}
         for k, (words, budget) in enumerate(zip(self.words, self.budget, strict=True)):
-            if len(words) < MIN_ITEM_WORDS:
+            if len(words) < self.min_words:
                 continue
             n, at = budget + 1, 0
             for p in range(n):
@@ -150,16 +152,6 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield held
 
 
-def hits_column(docs: DataFrame, benchmark: DataFrame, max_error: float = MAX_ERROR, text: str = "text") -> Column:
-    """HITS of each row's whole text: for each item that stands in it, its best passage."""
-    parts = []
-    for block in blocks(benchmark):
-        held = docs.sparkSession.sparkContext.broadcast(Matcher(block, max_error))
-        parts.append(_finder(held)(F.col(text)))
-    none = F.lit([]).cast(HITS)
-    return F.concat(*parts) if len(parts) > 1 else parts[0] if parts else none
-
-
 def _finder(held):
     @F.pandas_udf(HITS)
     def found(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -169,14 +161,35 @@ def _finder(held):
     return found
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, max_error: float = MAX_ERROR) -> DataFrame:
+def hits_columns(docs: DataFrame, benchmark: DataFrame, max_error: float = MAX_ERROR, min_words: int = MIN_ITEM_WORDS, text: str = "text") -> list[Column]:
+    """For each block of the benchmark the HITS of a row's whole text: for each item that stands in it, its best passage. Use them in tasks of
+    their own."""
+    context = docs.sparkSession.sparkContext
+    return [_finder(context.broadcast(Matcher(block, max_error, min_words)))(F.col(text)) for block in blocks(benchmark)]
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, max_error: float = MAX_ERROR, min_words: int = MIN_ITEM_WORDS) -> DataFrame:
     """doc_id, item_id, distance, start_word, end_word (exclusive): one row for each document and item that stands in it.
 
-    Null and empty texts hold nothing, items of fewer than MIN_ITEM_WORDS words are never found. Repeated documents come back as often as
+    Null and empty texts hold nothing, and items without a word are never found, nor are those of fewer than min_words words; items of fewer than
+    1 / max_error words must stand as they are. Texts are read whole, however long. Repeated documents come back as often as
     they came in; equal items count once; of equally good passages the first counts. Extra columns are ignored, empty tables give no row.
     """
-    hits = docs.select(F.col("doc_id").cast("long").alias("doc_id"), hits_column(docs, benchmark, max_error).alias("hits"))
-    return hits.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.item_id", "h.distance", "h.start_word", "h.end_word")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = [own.select("doc_id", hits.alias("hits")) for hits in hits_columns(docs, benchmark, max_error, min_words)]
+    out = reduce(DataFrame.unionByName, found) if found else own.select("doc_id", F.lit([]).cast(HITS).alias("hits"))
+    return out.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.item_id", "h.distance", "h.start_word", "h.end_word")
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, max_error: float = MAX_ERROR, min_words: int = MIN_ITEM_WORDS) -> DataFrame:
+    """docs without the documents in which an item stands; columns as they are. Null and empty texts and rows without doc_id are documents like
+    others; repeated rows stay or go together."""
+    columns = hits_columns(docs, benchmark, max_error, min_words)
+    if not columns:
+        return docs
+    for hits in columns[:-1]:  # one block at a time: what is left is stored before the next one
+        docs = cut(docs.where(F.size(hits) == 0))
+    return docs.where(F.size(columns[-1]) == 0)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Line deduplication by a deletion-neighbourhood join.
 
-A line is compared as its words, in lower case. Lines of MIN_WORDS words or more that are equal are one line; lines of
+A line is compared as its words, in lower case; a letter of a script without blanks is a word. Lines of MIN_WORDS words or more that are equal are one line; lines of
 MIN_WORDS_EDITED words or more are also the same if one edit of a word (put in, left out or replaced) turns one into the other.
 Of the same lines the earliest stays, by doc_id and place in the document. Shorter lines are left alone.
 
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, table
+from tessera.llm.common import cut, spaced, table
 
 MIN_WORDS = 5
 MIN_WORDS_EDITED = 10
@@ -62,7 +62,7 @@ def _lines(docs: DataFrame, halves: bool) -> DataFrame:
                 for text in part["text"]:
                     before = len(rows)
                     for no, line in enumerate(text.split("\n")):
-                        words = line.lower().split()
+                        words = spaced(line.lower()).split()
                         if len(words) >= MIN_WORDS:
                             own = (no, _digest("line", words))
                             rows.append(own + (len(words), *_halves(words)) if halves else own)
@@ -110,7 +110,7 @@ def _words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             rows = []
             for text, places in zip(pdf["text"], pdf["places"], strict=True):
                 lines = text.split("\n")
-                rows += [(p["h"], p["first"], lines[p["first"]["line_no"]].lower().split()) for p in places]
+                rows += [(p["h"], p["first"], spaced(lines[p["first"]["line_no"]].lower()).split()) for p in places]
             yield pd.DataFrame(rows, columns=["h", "first", "words"])
 
     # rows of one doc_id and one text are the same document
@@ -192,7 +192,9 @@ def dedup_lines(docs: DataFrame, annotate: bool = True) -> DataFrame:
     """
     gone = repeated_lines(docs).withColumnsRenamed({"doc_id": "_gone_doc_id", "version": "_gone_version", "dropped": "_gone"})
     joined = docs.join(gone, (docs["doc_id"].cast("long") == F.col("_gone_doc_id")) & (F.xxhash64(docs["text"]) == F.col("_gone_version")), "left")
-    kept = F.array_join(F.transform(F.filter(F.transform(F.split("text", "\n", -1), lambda line, i: F.struct(line.alias("line"), i.alias("i"))), lambda x: ~F.array_contains(F.col("_gone"), x["i"])), lambda x: x["line"]), "\n")
+    # a transform over one array binds the lines, so that the text is split once
+    left = lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone")), lambda i: F.get(lines, i)), "\n")
+    kept = F.get(F.transform(F.array(F.split("text", "\n", -1)), left), 0)
     out = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
     emptied = F.col("_gone").isNotNull() & F.coalesce(F.trim(F.regexp_replace("text", "\\s+", " ")) == "", F.lit(False))
     if annotate:

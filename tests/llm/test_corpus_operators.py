@@ -180,6 +180,8 @@ def test_line_dedup(spark):
         assert r["text"] == (t if not gone else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone))
         assert r["lines_dropped"] == len(gone)
     assert sum(map(len, drop.values())) > 50 and late
+    thai = spark.createDataFrame([(1, "这是一个很长的句子没有空格"), (2, "x\n这是一个很长的句子没有空白"), (3, "短句")], "doc_id long, text string")
+    assert [r["text"] for r in line_dedup.dedup_lines(thai).orderBy("doc_id").collect()] == ["这是一个很长的句子没有空格", "x", "短句"]
     assert line_dedup.dedup_lines(docs(spark, rows).limit(0)).count() == 0
 
 
@@ -200,7 +202,7 @@ def test_myers(pattern, text):
 def test_leaks(spark, monkeypatch, block_chars):
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", block_chars)
     rnd = random.Random(13)
-    items = [(i, " ".join(rnd.choices(WORDS, k=k))) for i, k in enumerate([3, 5, 8, 20, 40, 60])] + [(6, None), (7, ""), (3, None)]
+    items = [(i, " ".join(rnd.choices(WORDS, k=k))) for i, k in enumerate([3, 5, 8, 20, 40, 60])] + [(6, None), (7, ""), (3, None), (8, "今日は良い天気です"), (9, "omega")]
     rows = []
     for i in range(60):
         w = rnd.choices([x + "x" for x in WORDS], k=80)
@@ -209,7 +211,7 @@ def test_leaks(spark, monkeypatch, block_chars):
         for _ in range(rnd.randrange(0, 3 + len(item) // 4)):
             item[rnd.randrange(len(item))] = "zz"
         rows.append((i, " ".join([*w[:30], *item, *w[30:]]).upper().replace(" ", ", ")))
-    rows += [(100, None), (101, ""), (102, ("pad " * 20_000) + items[4][1] + " pad" * 20_000), (1, rows[1][1])]
+    rows += [(100, None), (101, ""), (102, ("pad " * 20_000) + items[4][1] + " pad" * 20_000), (1, rows[1][1]), (103, "昨日、今日は悪い天気です。"), (104, "Omega")]
     bench = spark.createDataFrame([(*x, 0) for x in items], "item_id long, text string, distance int")
     got = sorted((r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.find_leaks(docs(spark, rows), bench).collect())
     want = []
@@ -217,11 +219,13 @@ def test_leaks(spark, monkeypatch, block_chars):
         words = decontaminate.normalise(t).split()
         for k, item in items:
             p = decontaminate.normalise(item).split()
-            if len(p) >= 5 and t:
+            if p and t:
                 d, _ = decontaminate.myers(p, words)
                 if d <= int(0.2 * len(p)):
                     want.append((i, k, d))
-    assert got == sorted(want) and (102, 4, 0) in got
+    assert got == sorted(want) and (102, 4, 0) in got and (103, 8, 1) in got and (104, 9, 0) in got
+    left = sorted(r["doc_id"] for r in decontaminate.drop_leaks(docs(spark, [*rows, (None, "calm"), (None, items[4][1])]), bench).collect() if r["doc_id"] is not None)
+    assert left == sorted(i for i, _ in rows if i not in {w[0] for w in want})
     assert decontaminate.find_leaks(docs(spark, rows), bench.limit(0)).count() == 0
 
 
