@@ -18,6 +18,8 @@ from tessera.llm.common import table, with_checkpoint_dir
 SHINGLE_WORDS = 5
 MAX_BITS = 15
 MIN_SIMILARITY = 0.8
+#: Decontamination stage: a shorter item stands in many documents that have nothing to do with the benchmark.
+MIN_ITEM_WORDS = 5
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +42,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a benchmark item stands go."""
-    return docs.where(F.size(decontaminate.hits_column(docs, table(spark, sf_dir, "benchmark"))) == 0)
+    """Documents in which a benchmark item of MIN_ITEM_WORDS words or more stands go."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"), min_words=MIN_ITEM_WORDS)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
