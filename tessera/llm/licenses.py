@@ -4,10 +4,15 @@ Everything is a DataFrame expression on one row: no join, no shuffle, whole text
 blanks. A rule's regular expression runs only where its keyword stands in the text; keywords are looked for once for
 all rules that share them. Each match is an interval of words. Matches are sorted by start, longer ones first, and swept
 once: a match that lies inside another of the same or an earlier tier is suppressed.
+
+Sums and maxima that run along a text's matches are taken by chunks of CHUNK, so that a text with very many matches costs little more than
+its length.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +21,10 @@ from tessera.llm.license_rules import Rule, rules
 
 #: ASCII but for digits and letters; what parts words.
 BREAKS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-#: The base phrases and their labels.
-BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+CHUNK = 64
 
-HIT = "struct<first: int, last: int, tier: int, rank: int, label: string, confidence: double>"
+HIT = "struct<first: int, last: int, tier: int, rank: int, label: string, confidence: double, base: boolean>"
+GROUPS = "array<struct<keyword: string, rules: array<struct<rank: int, tier: int, label: string, pattern: string, confidence: double, base: boolean>>>>"
 
 
 def _lowered(text: Column) -> Column:
@@ -39,37 +44,50 @@ def _blanks(col: Column) -> Column:
     return F.length(col) - F.length(F.replace(col, F.lit(" "), F.lit("")))
 
 
+def _bound(x: Column, f) -> Column:
+    """f(x), with x evaluated once."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
+def _chunks(items: Column) -> Column:
+    """items, an array, as an array of arrays of CHUNK."""
+    cut = lambda xs: F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / CHUNK).cast("int")), lambda c: F.slice(xs, c * CHUNK + 1, F.lit(CHUNK)))
+    return _bound(items, lambda xs: F.when(F.size(xs) > 0, cut(xs)).otherwise(F.filter(F.array(xs), lambda _: F.lit(False))))
+
+
+def _before(values: Column, start: Column, step) -> Column:
+    """For each value what step has made of start and the values before it."""
+    state = F.struct(start.alias("now"), F.filter(F.array(start), lambda _: F.lit(False)).alias("seen"))
+    return F.aggregate(values, state, lambda s, x: F.struct(step(s["now"], x).alias("now"), F.array_append(s["seen"], s["now"]).alias("seen")))["seen"]
+
+
 def _matches(norm: Column, rule: Column) -> Column:
     """All matches of one rule, as intervals of words. The text before the nth match is the pieces and matches before it."""
     pieces, found = F.split(norm, rule["pattern"], -1), F.regexp_extract_all(norm, rule["pattern"], F.lit(0))
-    start = F.struct(F.lit(0).alias("seen"), F.lit([]).cast(f"array<{HIT}>").alias("hits"))
-    return F.aggregate(
-        F.arrays_zip(F.slice(pieces, F.lit(1), F.size(found)).alias("piece"), found.alias("match")),
-        start,
-        lambda s, x: _step(s, x["piece"], x["match"], rule),
-    )["hits"]
+    # of each match: blanks in the piece before it, blanks in itself
+    steps = F.zip_with(F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))), found, lambda p, m: F.struct(_blanks(p).alias("gap"), _blanks(m).alias("own")))
+    total = lambda part: F.aggregate(part, F.lit(0), lambda s, x: s + x["gap"] + x["own"])
+
+    def placed(part: Column, seen: Column) -> Column:
+        start = F.struct(seen.alias("seen"), F.lit([]).cast(f"array<{HIT}>").alias("hits"))
+        return F.aggregate(part, start, lambda s, x: _step(s, x, rule))["hits"]
+
+    return _bound(_chunks(steps), lambda parts: F.flatten(F.zip_with(parts, _before(F.transform(parts, total), F.lit(0), lambda s, x: s + x), placed)))
 
 
-def _step(s: Column, piece: Column, match: Column, rule: Column) -> Column:
-    first = s["seen"] + _blanks(piece) - 1  # the text begins with a blank
-    last = first + _blanks(match)
-    hit = F.struct(first.alias("first"), last.alias("last"), rule["tier"].alias("tier"), rule["rank"].alias("rank"), rule["label"].alias("label"), rule["confidence"].alias("confidence"))
-    return F.struct((s["seen"] + _blanks(piece) + _blanks(match)).alias("seen"), F.concat(s["hits"], F.array(hit)).alias("hits"))
+def _step(s: Column, x: Column, rule: Column) -> Column:
+    first = s["seen"] + x["gap"] - 1  # the text begins with a blank
+    hit = F.struct(first.alias("first"), (first + x["own"]).alias("last"), *[rule[k].alias(k) for k in ("tier", "rank", "label", "confidence", "base")])
+    return F.struct((s["seen"] + x["gap"] + x["own"]).alias("seen"), F.array_append(s["hits"], hit).alias("hits"))
 
 
 def detections(norm: Column, own: list[Rule]) -> Column:
     """Array of HIT: every match of every rule whose keyword the text holds."""
-    gates: dict[str, dict[str, list[Rule]]] = {}
+    by_keyword: dict[str, list[dict]] = {}
     for r in own:
-        gates.setdefault(r.gate, {}).setdefault(r.keyword, []).append(r)
-
-    def group(keyword: str, rs: list[Rule]) -> Column:
-        made = [F.struct(F.lit(r.rank).alias("rank"), F.lit(r.tier).alias("tier"), F.lit(r.label).alias("label"), F.lit(r.pattern).alias("pattern"), F.lit(r.confidence).alias("confidence")) for r in rs]
-        return F.struct(F.lit(keyword).alias("keyword"), F.array(*made).alias("rules"))
-
-    grouped = F.array(*[F.struct(F.lit(gate).alias("gate"), F.array(*[group(k, rs) for k, rs in by_keyword.items()]).alias("groups")) for gate, by_keyword in gates.items()])
-    open_gates = F.filter(grouped, lambda x: F.contains(norm, x["gate"]))
-    near = F.filter(F.flatten(F.transform(open_gates, lambda x: x["groups"])), lambda g: F.contains(norm, g["keyword"]))
+        by_keyword.setdefault(r.keyword, []).append({"rank": r.rank, "tier": r.tier, "label": r.label, "pattern": r.pattern, "confidence": r.confidence, "base": r.base})
+    groups = F.from_json(F.lit(json.dumps([{"keyword": k, "rules": rs} for k, rs in by_keyword.items()])), GROUPS)  # one literal
+    near = F.filter(groups, lambda g: F.contains(norm, g["keyword"]))
     tried = F.filter(F.flatten(F.transform(near, lambda g: g["rules"])), lambda r: F.rlike(norm, r["pattern"]))
     return F.flatten(F.transform(tried, lambda r: _matches(norm, r)))
 
@@ -84,62 +102,47 @@ def unsuppressed(hits: Column, tiers: int) -> Column:
         F.array_sort(F.transform(hits, lambda h: F.struct(h["first"].alias("first"), (-h["last"]).alias("minus_last"), h["rank"].alias("rank"), h.alias("hit")))),
         lambda x: x["hit"],
     )
-    start = F.struct(F.array(*[F.lit(-1)] * tiers).alias("ends"), F.lit([]).cast(f"array<{HIT}>").alias("kept"))
-    return F.aggregate(
-        ordered,
-        start,
-        lambda s, h: F.when(F.array_max(F.slice(s["ends"], F.lit(1), h["tier"] + 1)) >= h["last"], s).otherwise(
-            F.struct(F.transform(s["ends"], lambda e, i: F.when((i == h["tier"]) & (h["last"] > e), h["last"]).otherwise(e)).alias("ends"), F.concat(s["kept"], F.array(h)).alias("kept"))
-        ),
-    )["kept"]
+    none = F.array(*[F.lit(-1)] * tiers)
+    further = lambda ends, h: F.transform(ends, lambda e, i: F.when((i == h["tier"]) & (h["last"] > e), h["last"]).otherwise(e))
+    inside = lambda ends, h: F.array_max(F.slice(ends, F.lit(1), h["tier"] + 1)) >= h["last"]
+    # a suppressed match lies inside another whose tier is no later, so whether it moves its own tier's end doesn't matter to what follows
+    furthest = lambda part: F.aggregate(part, none, further)
+    both = lambda ends, more: F.zip_with(ends, more, lambda x, y: F.greatest(x, y))
+
+    def kept(part: Column, ends: Column) -> Column:
+        start = F.struct(ends.alias("ends"), F.lit([]).cast(f"array<{HIT}>").alias("kept"))
+        return F.aggregate(part, start, lambda s, h: F.struct(further(s["ends"], h).alias("ends"), F.when(inside(s["ends"], h), s["kept"]).otherwise(F.array_append(s["kept"], h)).alias("kept")))["kept"]
+
+    return _bound(_chunks(ordered), lambda parts: F.flatten(F.zip_with(parts, _before(F.transform(parts, furthest), none, both), kept)))
 
 
 def scan(docs: DataFrame, own: list[Rule] | None = None) -> DataFrame:
-    """doc_id, norm, detections (array of first word, last word, tier, rank, label, confidence; sorted by first word).
+    """doc_id, norm, hits (every match; array of first word, last word, tier, rank, label, confidence, base) and detections (those that aren't
+    suppressed, sorted by first word).
 
-    A null text is an empty one and has no detection. Repeated rows come back as often as they came in, extra columns are ignored, an
-    empty table gives no row. Ties between rules on one interval go to the earlier rule.
+    A null text is an empty one and has no detection; a text of any length is scanned whole. Repeated rows come back as often as they came in,
+    extra columns are ignored, an empty table gives no row. Ties between rules on one interval go to the earlier rule.
     """
     own = rules() if own is None else own
     tiers = 1 + max(r.tier for r in own)
     normal = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalise(F.col("text")).alias("norm"))
-    return normal.withColumn("detections", unsuppressed(detections(F.col("norm"), own), tiers))
-
-
-def places(norm: Column, phrase: str) -> Column:
-    """The words at which a phrase starts, each occurrence counted, without a regular expression; empty where it doesn't stand."""
-    want = phrase.split(" ")
-
-    def found(words: Column) -> Column:  # words[0] is the empty piece before the first blank
-        def match(i: Column) -> Column:
-            ok = F.get(words, i + 1) == want[0]
-            for k, w in enumerate(want[1:], 1):
-                ok = ok & (F.get(words, i + 1 + k) == w)
-            return F.coalesce(ok, F.lit(False))
-
-        return F.filter(F.sequence(F.lit(0), F.size(words) - 3), match)
-
-    none = F.lit([]).cast("array<int>")
-    # a transform over one array binds it, so that the text is split once and not for every word
-    return F.when(F.contains(norm, F.lit(f" {phrase} ")), F.flatten(F.transform(F.array(F.split(norm, " ")), found))).otherwise(none)
+    return normal.withColumn("hits", detections(F.col("norm"), own)).withColumn("detections", unsuppressed(F.col("hits"), tiers))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    hit = F.array(*[F.struct(F.lit(label).alias("label"), places(F.col("norm"), phrase).alias("at")) for phrase, label in BASE.items()])
-    based = found.select("doc_id", "detections", _blanks(F.col("norm")).alias("blanks"), hit.alias("base"))
-    at = F.flatten(F.transform("base", lambda b: b["at"]))
-    own = F.transform(F.filter("base", lambda b: F.size(b["at"]) > 0), lambda b: b["label"])
-    sure = F.aggregate("detections", F.lit(0.0), lambda s, d: F.greatest(s, d["confidence"]))
+    based = found.select("doc_id", "detections", _blanks(F.col("norm")).alias("blanks"), F.filter("hits", lambda h: h["base"]).alias("base"))
+    at = F.transform("base", lambda h: h["first"])
+    labels = lambda hits: F.transform(hits, lambda h: h["label"])
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     return based.select(
         "doc_id",
         (F.col("blanks") - 1).cast("long").alias("n_words"),
-        F.size(at).cast("long").alias("n_base"),
+        F.size("base").cast("long").alias("n_base"),
         F.array_min(at).cast("long").alias("first_word"),
         F.array_max(at).cast("long").alias("last_word"),
-        joined(own).alias("base_labels"),
-        joined(F.concat(own, F.transform("detections", lambda d: d["label"]))).alias("labels"),
-        F.greatest(sure, F.when(F.size(at) > 0, F.lit(0.7)).otherwise(F.lit(0.0))).alias("score"),
+        joined(labels("base")).alias("base_labels"),
+        joined(F.concat(labels("base"), labels("detections"))).alias("labels"),
+        F.aggregate(F.concat("base", "detections"), F.lit(0.0), lambda s, d: F.greatest(s, d["confidence"])).alias("score"),
         F.size("detections").cast("long").alias("n_detections"),
     )
