@@ -32,9 +32,6 @@ SEED = 42
 BITS = 64
 LEAF_PAIRS = 4096  # subtree pairs of up to so many leaf pairs are compared at once
 FLUSH_PAIRS = 500_000
-WIDE_LEAF_PAIRS = 65536  # the same where a wide budget prunes little
-HEAD_BITS = 16  # a quarter of the bits, walked first under a quarter of a wide budget
-SPARE_BITS = 22  # of a second fingerprint: at similarity 0.8 the mean is 9.7 and the deviation 2.9, for unlike texts 32 and 4
 
 BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -83,13 +80,13 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, seed: int
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
 
 
-def trie_pairs(fps: np.ndarray, max_bits: int, head_budget: int | None = None, leaf_pairs: int = LEAF_PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_pairs(fps: np.ndarray, max_bits: int, leaf_pairs: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i, j) of places in the sorted, distinct uint64 array fps whose values differ in at most max_bits bits, each once, in blocks.
 
     A trie node is a range of the array: the values that share a prefix. The stack holds pairs of nodes of one depth
-    and the number of bits in which their prefixes differ. With head_budget, pairs that differ in more of the first HEAD_BITS are pruned on the way.
+    and the number of bits in which their prefixes differ.
     """
-    head_budget = max_bits if head_budget is None else head_budget
+    leaf_pairs = LEAF_PAIRS if leaf_pairs is None else leaf_pairs
     stack = [(0, len(fps), 0, len(fps), BITS - 1, 0)]
     while stack:
         a0, a1, b0, b1, bit, differ = stack.pop()
@@ -106,7 +103,7 @@ def trie_pairs(fps: np.ndarray, max_bits: int, head_budget: int | None = None, l
         am, bm = _split(fps, a0, a1, bit), _split(fps, b0, b1, bit)
         stack.append((a0, am, b0, bm, bit - 1, differ))
         stack.append((am, a1, bm, b1, bit - 1, differ))
-        if differ < (head_budget if bit >= BITS - HEAD_BITS else max_bits):
+        if differ < max_bits:
             stack.append((a0, am, bm, b1, bit - 1, differ + 1))
             if not same:
                 stack.append((am, a1, b0, bm, bit - 1, differ + 1))
@@ -207,138 +204,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bit
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def candidates(nodes: DataFrame, max_bits: int, min_similarity: float, stars: bool) -> DataFrame:
-    """Pairs (a, b), a > b, of fingerprints within max_bits whose sets are of sizes that allow min_similarity.
-
-    nodes: fp long (distinct), spare long (a second fingerprint, which few unlike texts pass), size int (of the shingle set), component long. Only pairs of different components count. With stars, a fingerprint
-    comes with the smallest one it's paired with in a subtree, and not with all of them.
-
-    A subtree lies below a size class and a few bits. Classes grow by 1 / min_similarity, so that two sets as similar as that are of one class
-    or of neighbouring ones; each fingerprint is in its own class and in the next. Of four blocks of bits one differs in at most max_bits // 4, and
-    of max_bits // 4 + 1 parts of that block one is equal: that part is the key, and the block is walked first.
-    """
-    head = max_bits // 4
-    cuts = [(at, p.tolist()) for at in range(0, BITS, HEAD_BITS) for p in np.array_split(np.arange(at, at + HEAD_BITS), head + 1)]
-    bits = F.array(*[F.struct(F.lit(n).alias("n"), F.shiftrightunsigned("fp", c[0]).bitwiseAND(F.lit((1 << len(c)) - 1).cast("long")).alias("bits")) for n, (_, c) in enumerate(cuts)])
-    own = F.floor(F.log(F.greatest("size", F.lit(1))) / F.log(F.lit(1 / min_similarity))).cast("int")
-    keyed = nodes.select("fp", "spare", "size", "component", F.explode(F.array(own, own + 1)).alias("class"), bits.alias("blocks")).select("fp", "spare", "size", "component", "class", F.explode("blocks").alias("k"))
-    dealt = keyed.select("fp", "spare", "size", "component", "class", "k.n", "k.bits").repartition("class", "n", "bits").sortWithinPartitions("class", "n", "bits")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _groups(batches, ["class", "n", "bits"]):
-            if len(group) < 2:
-                continue
-            turn = np.uint64((BITS - HEAD_BITS - cuts[int(group["n"].iloc[0])][0]) % BITS)  # to the left, which brings the block to the top
-            fp = group["fp"].to_numpy().view(np.uint64)
-            turned = fp << turn | fp >> np.uint64((BITS - int(turn)) % BITS)
-            order = np.argsort(turned)
-            ids, turned = group["fp"].to_numpy()[order], turned[order]
-            spare, size, comp = group["spare"].to_numpy().view(np.uint64)[order], group["size"].to_numpy()[order], group["component"].to_numpy()[order]
-            found: list[pd.DataFrame] = []
-            held = 0
-            for i, j in trie_pairs(turned, max_bits, head, WIDE_LEAF_PAIRS):
-                ok = (comp[i] != comp[j]) & (np.bitwise_count(spare[i] ^ spare[j]) <= SPARE_BITS) & (np.minimum(size[i], size[j]) >= min_similarity * np.maximum(size[i], size[j]))
-                if not ok.any():
-                    continue
-                x, y = ids[i[ok]], ids[j[ok]]
-                found.append(pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)}))
-                held += len(found[-1])
-                if held >= FLUSH_PAIRS:
-                    found = [_stars(found)] if stars else found
-                    if not stars or len(found[0]) >= FLUSH_PAIRS:
-                        yield pd.concat(found)
-                        found = []
-                    held = sum(map(len, found))
-            if found:
-                yield _stars(found) if stars else pd.concat(found)
-
-    return dealt.mapInPandas(run, "a long, b long").distinct()
-
-
-def _stars(found: list[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(found).groupby("a", as_index=False)["b"].min()
-
-
-def _remixed(hashes: np.ndarray) -> np.ndarray:
-    """Other bits of the same shingles: the finaliser of SplitMix64."""
-    h = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def _groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
-    """The groups of rows that come sorted by these columns, whichever batches they are in."""
-    tail: list[pd.DataFrame] = []  # of one group
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        keys = pdf[by].to_numpy()
-        starts = [0, *(np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1).tolist()]
-        if tail and (tail[0][by].iloc[0].to_numpy() != keys[0]).any():
-            yield pd.concat(tail)
-            tail = []
-        for lo, hi in zip(starts[:-1], starts[1:], strict=True):
-            yield pd.concat([*tail, pdf.iloc[lo:hi]])
-            tail = []
-        tail.append(pdf.iloc[starts[-1] :])
-    if tail:
-        yield pd.concat(tail)
-
-
-def similar(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, shingle_words: int, min_similarity: float, seed: int) -> DataFrame:
-    """Those pairs (a, b) of fingerprints whose shingle sets have at least this Jaccard similarity. nodes: fp, rep (the document that stands for it)."""
-    wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct().join(nodes.select("fp", "rep"), "fp")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            hashes = [shingle_hashes(t, shingle_words, seed) for t in pdf["text"]]
-            keep = np.array([_majority(h) for h in hashes], dtype=np.uint64).view(np.int64) == pdf["fp"].to_numpy()
-            yield pd.DataFrame({"fp": pdf["fp"][keep], "own": [np.unique(h).view(np.int64) for h, k in zip(hashes, keep, strict=True) if k]})
-
-    sets = cut(texts.mapInPandas(run, "fp long, own array<long>").dropDuplicates(["fp"]))
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("own").alias("of_a")), "a").join(sets.select(F.col("fp").alias("b"), F.col("own").alias("of_b")), "b")
-    shared = both.select("a", "b", (F.size("of_a") + F.size("of_b")).alias("sum"), F.size(F.array_intersect("of_a", "of_b")).alias("shared"))
-    return shared.where(F.col("shared") >= min_similarity * (F.col("sum") - F.col("shared"))).select("a", "b")
-
-
-def similar_documents(docs: DataFrame, shingle_words: int, max_bits: int, min_similarity: float, seed: int = SEED) -> DataFrame:
-    """doc_id, fp and component_id as near_duplicates has them, linked where fingerprints differ in at most max_bits bits and the shingle sets
-    have at least this Jaccard similarity, taken exactly. Equal fingerprints are linked as they are.
-
-    The trie is walked twice. The first walk hands on stars, so that a group of near copies isn't turned into pairs; once their links
-    are verified, the second hands on the pairs that are left between different components. Together that gives the same components as all pairs.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            hashes = [shingle_hashes(t, shingle_words, seed) for t in pdf["text"]]
-            fp, spare = (np.array([_majority(x) for x in hs], dtype=np.uint64).view(np.int64) for hs in (hashes, map(_remixed, hashes)))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fp, "spare": spare, "size": np.array([len(np.unique(h)) for h in hashes], dtype=np.int32)})
-
-    fps = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long, spare long, size int"))
-    nodes = fps.where("doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "spare", "size")).alias("m")).select("fp", F.col("m.doc_id").alias("rep"), "m.spare", "m.size")
-    alone = nodes.withColumn("component", F.col("fp"))
-    first = cut(candidates(alone, max_bits, min_similarity, stars=True))
-    links = cut(similar(docs, first, nodes, shingle_words, min_similarity, seed))
-    grouped = _labelled(nodes, links)
-    second = cut(candidates(grouped, max_bits, min_similarity, stars=False).join(first, ["a", "b"], "left_anti"))
-    links = links.unionByName(similar(docs, second, nodes, shingle_words, min_similarity, seed))
-    named = _labelled(nodes, links)
-    ids = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    return fps.join(named.select("fp", "component").join(ids, "component").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
-
-
-def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    comps = components(links).select(F.col("id").alias("fp"), F.col("component").alias("linked"))
-    return nodes.join(comps, "fp", "left").select("fp", "rep", "spare", "size", F.coalesce("linked", "fp").alias("component"))
-
-
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, seed: int = SEED, min_similarity: float | None = None) -> DataFrame:
     """One document of each group: the one whose doc_id names it; columns as they are.
 
     A document is a doc_id with a text: of two texts under one doc_id each is judged by itself, and stays unless it's like a kept one. Repeated
-    rows of one document are copies, of which one stays. With min_similarity, groups are those of similar_documents. Rows without doc_id can't
+    rows of one document are copies, of which one stays. With min_similarity, groups are those of near_copies.similar_documents. Rows without doc_id can't
     name a group and stay; a null text is an empty one. The documents that go are joined, never gathered.
     """
     doc, version = "__dedup_doc", "__dedup_version"
@@ -348,6 +218,8 @@ def drop_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, ma
     several = met.groupBy(doc).agg(F.min(version).alias("least"), F.max(version).alias("most")).where("least <> most").select(doc, "least")
     number = F.when(F.col("least").isNull() | (F.col("least") == F.col(version)), F.col(doc)).otherwise(F.xxhash64(doc, version))
     named = keyed.where(F.col(doc).isNotNull()).select(doc, version, "text").join(several, doc, "left").select(number.alias("doc_id"), "text")
+    from tessera.llm.near_copies import similar_documents
+
     found = near_duplicates(named, shingle_words, max_bits, seed) if min_similarity is None else similar_documents(named, shingle_words, max_bits, min_similarity, seed)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("number")).distinct()
     odd = cut(met.join(several, doc, "left").withColumn("number", number).join(gone.withColumn("gone", F.lit(True)), "number", "left").where("gone or rows > 1").select(doc, version, F.coalesce("gone", F.lit(False)).alias("gone")))

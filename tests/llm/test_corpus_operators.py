@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, embedding_dedup, line_dedup, mixing, simhash
+from tessera.llm import decontaminate, embedding_dedup, line_dedup, mixing, near_copies, simhash
 from tessera.llm.common import components
 from tessera.llm.local_graph import roots
 
@@ -308,6 +308,44 @@ def test_permutation(spark):
         assert sorted(x["p"] for x in r) == list(range(n)) and all(x["back"] == x["id"] for x in r)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 12), max_size=9), min_size=1, max_size=14), st.integers(0, 2**32))
+def test_link(sets, seed):
+    rnd = random.Random(seed)
+    pivot = np.array([rnd.random() < 0.6 for _ in sets])
+    known = np.array([rnd.randrange(len(sets)) if rnd.random() < 0.3 else 100 + i for i in range(len(sets))])
+    got = near_copies.link([np.array(sorted(s), dtype=np.int64) for s in sets], known, pivot, 0.6)
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j) if known[i] == known[j] or ((pivot[i] or pivot[j]) and len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j]) and (sets[i] or sets[j]))]
+    want = union_find(range(len(sets)), pairs)
+    assert [[got[i] == got[j] for j in range(len(sets))] for i in range(len(sets))] == [[want[i] == want[j] for j in range(len(sets))] for i in range(len(sets))]
+
+
+def test_large_groups_of_near_copies(spark, monkeypatch):
+    """A hot key and a component of many blocks: copies of one text that are like it, but mostly not like each other, chains and loners."""
+    rnd = random.Random(23)
+    for name, small in (("HOT_KEY", 16), ("BLOCK_SETS", 16), ("PIVOTS", 2)):
+        monkeypatch.setattr(near_copies, name, small)
+    base = [f"w{rnd.randrange(9000)}" for _ in range(300)]
+    texts = []
+    for k in range(150):
+        copy = list(base)
+        for at in rnd.sample(range(300), 5 if k < 100 else 8):
+            copy[at] = f"x{rnd.randrange(10**6)}"
+        texts.append(copy)
+    texts.append(base)
+    chain = list(base)
+    for _ in range(25):
+        for at in rnd.sample(range(300), 3):
+            chain[at] = f"y{rnd.randrange(10**6)}"
+        texts.append(list(chain))
+    rnd.shuffle(texts)
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    want = union_find(range(len(texts)), [(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.similar_documents(docs(spark, [(i, " ".join(t)) for i, t in enumerate(texts)]), 5, 18, 0.8).collect()}
+    assert 1 < len(set(want.values())) < 60
+    assert got == want
+
+
 def test_near_copies_of_similarity_080_go(spark):
     """Against all pairs by their shingle sets; 3 bits, the budget before, reach hardly any of these."""
     import random
