@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from tessera.llm import decontaminate, line_dedup, mixing, quality, simhash
 from tessera.llm.common import table, with_checkpoint_dir
 
-#: Near-duplicate stage: shingles of five words, of which two texts must share MIN_SIMILARITY (Jaccard); 15 of 64 bits, as pairs of that similarity differ in about 10.
+#: Near-duplicate stage: shingles of five words, of which two texts must share MIN_SIMILARITY (Jaccard); 18 of 64 bits, as pairs of that similarity differ in about 10 and hardly any in more.
 SHINGLE_WORDS = 5
-MAX_BITS = 15
+MAX_BITS = 18
 MIN_SIMILARITY = 0.8
 #: Decontamination stage: a shorter item stands in many documents that have nothing to do with the benchmark.
 MIN_ITEM_WORDS = 5
