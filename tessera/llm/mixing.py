@@ -107,8 +107,8 @@ def _running(of: Column) -> Column:
 
 
 def _beside(rows: DataFrame, one: DataFrame) -> DataFrame:
-    """rows, with the columns of a frame of one row beside each; shard numbers are below 2 ** 62, which makes the key 0."""
-    return rows.withColumn("top", F.shiftright("shard", 62)).join(F.broadcast(one.withColumn("top", F.lit(0).cast("long"))), "top").drop("top")
+    """rows, with the columns of a frame of one row, whose top is 0, beside each; shard numbers are below 2 ** 62, which makes the key 0."""
+    return rows.withColumn("top", F.shiftright("shard", 62)).join(F.broadcast(one), "top").drop("top")
 
 
 def places(plan: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -127,7 +127,7 @@ def draws(per: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     shards = -(-slots_in_all // shard_slots)
     tasks = max(1, min(shards, max(spark.sparkContext.defaultParallelism, -(-slots_in_all // SLOTS_PER_TASK))))
     size = F.least(F.lit(shard_slots).cast("long"), F.lit(slots_in_all).cast("long") - F.col("shard") * shard_slots)
-    each = _beside(spark.range(0, shards, 1, tasks).select(F.col("id").alias("shard"), size.alias("size")), per.agg(_running(_in_order(F.col("n"))).alias("sums")))
+    each = _beside(spark.range(0, shards, 1, tasks).select(F.col("id").alias("shard"), size.alias("size")), per.agg(_running(_in_order(F.col("n"))).alias("sums"), (F.min("n") * 0).alias("top")))
     source = lambda slot: _upto(F.pmod(F.xxhash64(F.lit(SEED + 2), "shard", slot), F.lit(slots_in_all).cast("long")), F.col("sums"), sources.bit_length())
     drawn = each.select("shard", "size", F.transform(F.sequence(F.lit(0).cast("long"), F.col("size") - 1), source).alias("sources"))
     return drawn.select("shard", "size", F.explode("sources").alias("at")).groupBy("shard", "size", "at").agg(F.count("*").alias("drawn"))
@@ -148,7 +148,7 @@ def slots(plan: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -
     known = at.join(drawn.groupBy("at").agg(F.sum("drawn").alias("c")), "at", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     lack, over = F.greatest(F.col("n") - F.col("c"), F.lit(0)), F.greatest(F.col("c") - F.col("n"), F.lit(0))
     names = ["rank", "source_size", "blocks", "epochs", "rest", "n", "c"]
-    one = known.agg(*[_in_order(F.col(x).cast("long")).alias(f"{x}_of") for x in names], _running(_in_order(lack)).alias("lacks"), _running(_in_order(over)).alias("overs"), F.count("*").alias("k"))
+    one = known.agg(*[_in_order(F.col(x).cast("long")).alias(f"{x}_of") for x in names], _running(_in_order(lack)).alias("lacks"), _running(_in_order(over)).alias("overs"), F.count("*").alias("k"), (F.min("n") * 0).alias("top"))
     one = cut(one.withColumn("moved", F.coalesce(F.try_element_at("lacks", F.lit(-1)), F.lit(0))))
     sources, moved = one.select("k", "moved").first()
     tasks = max(per.sparkSession.sparkContext.defaultParallelism, -(-(per.agg(F.sum("n")).first()[0] or 0) // SLOTS_PER_TASK))
