@@ -1,16 +1,20 @@
 """Embedding near-duplicates by product quantisation over inverted lists.
 
-Fit (driver, numpy, a bounded sample): k-means centroids of unit vectors are the coarse lists, and the residuals of the
-sample (vector minus centroid) train one small codebook for each subspace. Every vector, in the sample or not, is indexed.
+Fit (driver, numpy, a sample): k-means centroids of unit vectors are the coarse lists, and the residuals of the
+sample (vector minus centroid) train one small codebook for each subspace. Every vector, in the sample or not, is indexed. The number of lists
+grows with the square root of the number of vectors, and the sample with the lists.
 
-Search: a vector probes each list that can hold a partner. For two vectors at most r apart, with u in the cell of
-centroid c and v in that of c', the distance of u to the plane halfway between c and c' is at most r; the probes are the
-lists for which that holds, so they suffice. Within a list the distance of a query to a member's code is summed from a
-table of the query's distances to the codewords (asymmetric), and differs from the true distance by the member's stored
-quantisation error at most: members beyond r plus that error are dropped, the rest gets its exact cosine in double
-precision. Both bounds are exact; recall is 1 up to rounding, whatever the quantiser has learned.
+Search: a vector probes the lists that can hold a partner. For two vectors at most r apart, with u in the cell of
+centroid c and v in that of c', the distances of u and v to the plane halfway between c and c' add up to r at most, so that one of them is
+r / 2 or less. The probes of a vector are the lists for which that holds; they suffice, as of each linked pair at least one probes the
+other's list. Within a list the distance of a query to a member's code is summed from a table of the query's distances to the codewords (asymmetric),
+and differs from the true distance by the member's stored quantisation error at most: members beyond r plus that error are dropped, the rest
+gets its exact cosine in double precision. These bounds are exact; recall is 1 up to rounding, whatever the quantiser has learned.
 
-Equal vectors are grouped first. Lists are dealt out in blocks of members and of queries, so that a task never holds more
+That takes place twice. First with vectors rounded to bytes, whose rounding error is known and widens r: it finds which vectors can have
+a partner at all. The others then aren't sent anywhere as a whole. A pair that is met in two lists counts in one of them.
+
+Equal vectors are one vector before that. Lists are dealt out in pairs of blocks, so that a task never holds more
 than two blocks, however large a list is. A task returns the number of links of each vector and stars in place of pairs.
 """
 
@@ -22,19 +26,21 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 from tessera.llm.common import components, cut
 from tessera.llm.local_graph import roots
 
 MIN_COSINE = 0.98
-SAMPLE = 32_768  # vectors of one dimension that the quantiser is fitted on, at most
-MAX_LISTS = 1_024
-VECTORS_PER_LIST = 4_096
+SAMPLE = 32_768  # vectors of one dimension that the quantiser is fitted on; SAMPLE_PER_LIST times the lists where that is more
+SAMPLE_PER_LIST = 16
+LISTS_PER_ROOT = 0.25  # lists, by the square root of the number of vectors
 SUBSPACES = 8
 CODES = 64
 BLOCK = 4_096
 SLACK = 1e-6  # of distances, for rounding
 PAIRS_AT_ONCE = 65_536
+TABLE_CELLS = 2_000_000  # of distances that are held at once
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -61,7 +67,7 @@ class Quantiser:
     """Coarse centroids and, for each subspace of a residual, its codewords."""
 
     def __init__(self, sample: np.ndarray, lists: int) -> None:
-        self.lists = _kmeans(sample, lists)
+        self.lists, self.gaps = _kmeans(sample, lists), None
         rest = sample - self.lists[_nearest(sample, self.lists)]
         self.parts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
         self.books = [_kmeans(rest[:, p], CODES) for p in self.parts]
@@ -75,14 +81,16 @@ class Quantiser:
         return own, codes, np.sqrt(off)
 
     def probes(self, x: np.ndarray, reach: float) -> list[np.ndarray]:
-        """For each unit vector all lists in whose cell something within reach can lie."""
-        gaps = np.sqrt(_squares(self.lists, self.lists))
-        out = []
-        for i in range(0, len(x), 4096):
-            d = _squares(x[i : i + 4096], self.lists)
+        """For each unit vector its own list and those in whose cell lies something within reach that doesn't probe this one's."""
+        if self.gaps is None:
+            self.gaps = np.sqrt(_squares(self.lists, self.lists))
+        gaps, out = self.gaps, []
+        step = max(1, 2 * TABLE_CELLS // len(self.lists))
+        for i in range(0, len(x), step):
+            d = _squares(x[i : i + step], self.lists)
             own = d.argmin(1)
             away = d - d[np.arange(len(d)), own][:, None]
-            out += [np.nonzero(row)[0] for row in away <= 2 * gaps[own] * reach + SLACK]
+            out += [np.nonzero(row)[0] for row in away <= gaps[own] * reach + SLACK]
         return out
 
     def bounds(self, queries: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
@@ -105,15 +113,101 @@ def _unit(rows: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _rounded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors as bytes (127 stands for the largest component's size), and how far each is from what its bytes stand for."""
+    scale = np.abs(x).max(axis=1, keepdims=True) / 127
+    small = np.rint(x / scale).astype(np.int8)
+    off = np.linalg.norm(x - small * scale, axis=1)
+    return np.concatenate([scale.astype("<f8").view(np.uint8), small.view(np.uint8)], axis=1), off
+
+
+def _unrounded(rows: np.ndarray) -> np.ndarray:
+    raw = np.stack([np.frombuffer(r, np.uint8) for r in rows])
+    return raw[:, 8:].copy().view(np.int8) * raw[:, :8].copy().view("<f8")
+
+
 def fit(vectors: DataFrame) -> dict[int, Quantiser]:
-    """One quantiser for each dimension. vectors: distinct, valid (rep, dim, embedding). Driver: SAMPLE vectors of a dimension."""
+    """One quantiser for each dimension. vectors: distinct, valid (rep, dim, embedding). Driver: the sample of a dimension at a time."""
     out = {}
-    for dim, n in vectors.groupBy("dim").count().orderBy("dim").toLocalIterator():
-        share = vectors.where(F.col("dim") == dim).orderBy(F.xxhash64("rep"), "rep", "embedding").limit(SAMPLE).select("embedding").toPandas()
-        out[dim] = Quantiser(_unit(share["embedding"]), int(np.clip(n // VECTORS_PER_LIST, 4, MAX_LISTS)))
+    for dim, n in [(r["dim"], r["count"]) for r in vectors.groupBy("dim").count().orderBy("dim").toLocalIterator()]:
+        lists = max(4, int(LISTS_PER_ROOT * n**0.5))
+        share = vectors.where(F.col("dim") == dim).orderBy(F.xxhash64("rep"), "rep").limit(max(SAMPLE, SAMPLE_PER_LIST * lists)).select("embedding").toPandas()
+        out[dim] = Quantiser(_unit(share["embedding"]), lists)
     return out
 
 
+ITEM = ["rep", "copies", "home", "probes", "codes", "off"]
+
+
+def _dealt(indexed: DataFrame, vector: str) -> DataFrame:
+    """Rows label, dim, list, p, q, b (own block), ITEM and x: every vector in each list that it probes, for each pair (p, q) of the list's blocks that
+    its own is one of."""
+    key = ["label", "dim", "list"]
+    items = indexed.select("label", "dim", *ITEM, F.col(vector).alias("x"), F.explode("probes").alias("list"))
+    sizes = indexed.select("label", "dim", F.explode("probes").alias("list")).groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n")).where("n > 1")
+    n = F.coalesce("n", F.lit(1))
+    placed = items.join(sizes, key, "left").withColumn("b", F.pmod(F.xxhash64("rep"), n).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), n - 1)))
+    rows = placed.select(*key, F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), "b", *ITEM, "x")
+    return rows.repartition(*key, "p", "q")
+
+
+class _Found:
+    """Links among the items of a group, kept as counts and stars."""
+
+    def __init__(self, ids: np.ndarray, copies: np.ndarray) -> None:
+        self.ids, self.copies, self.links = ids, copies, np.zeros(len(ids), dtype=np.int64)
+        self.a, self.b, self.held = [], [], 0
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        self.links += np.bincount(i, weights=self.copies[j], minlength=len(self.ids)).astype(np.int64) + np.bincount(j, weights=self.copies[i], minlength=len(self.ids)).astype(np.int64)
+        self.a.append(i)
+        self.b.append(j)
+        self.held += len(i)
+        if self.held > 16 * PAIRS_AT_ONCE:
+            self.fold()
+
+    def fold(self) -> None:
+        a, b = roots(np.concatenate(self.a), np.concatenate(self.b)) if self.a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.a, self.b, self.held = [a], [b], len(a)
+
+    def rows(self) -> pd.DataFrame:
+        """id, links, root (the smallest id tied to it) of the items with a link."""
+        self.fold()
+        met, at = self.a[0], self.b[0]
+        least = np.full(len(self.ids), np.iinfo(np.int64).max)
+        np.minimum.at(least, at, self.ids[met])
+        return pd.DataFrame({"id": self.ids[met], "links": self.links[met], "root": least[at]})
+
+
+def _pairs(model: Quantiser, which: int, pdf: pd.DataFrame, x: np.ndarray, wider: np.ndarray, reach: float, near) -> _Found:
+    """Links of a group: near(i, j) says which pairs of items are linked; wider: how far each x is from the vector it stands for."""
+    ids, home, block = pdf["rep"].to_numpy(), pdf["home"].to_numpy(), pdf["b"].to_numpy()
+    found, member = _Found(ids, pdf["copies"].to_numpy()), home == which
+    codes, off = np.stack([np.frombuffer(c, np.uint8) for c in pdf["codes"]]), pdf["off"].to_numpy()
+    # whether a member probes the home of another item: then the pair is met there too, and counts where the smaller id is the guest
+    homes, col = np.unique(home, return_inverse=True)
+    mutual = np.zeros((len(ids), len(homes)), dtype=bool)
+    for k in np.nonzero(member)[0].tolist():
+        mutual[k] = np.isin(homes, pdf["probes"].iloc[k])
+    own = np.nonzero(member)[0]
+    for s in range(0, len(own), BLOCK):
+        left = own[s : s + BLOCK]
+        step = max(1, TABLE_CELLS // max(1, len(left)))
+        for t in range(0, len(ids), step):
+            right = np.arange(t, min(t + step, len(ids)))
+            j, i = np.nonzero(model.bounds(x[right], which, codes[left]) <= reach + off[left][None] + wider[right][:, None] + SLACK)
+            i, j = left[i], right[j]
+            once = np.where(member[j], i < j, ~mutual[i, col[j]] | (ids[j] < ids[i]))
+            both = once & ((block[i] != block[j]) | pdf["same"].iloc[0])
+            i, j = i[both], j[both]
+            for u in range(0, len(i), PAIRS_AT_ONCE):
+                a, b = i[u : u + PAIRS_AT_ONCE], j[u : u + PAIRS_AT_ONCE]
+                ok = near(a, b)
+                if ok.any():
+                    found.add(a[ok], b[ok])
+    return found
+
+
 def search(vectors: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
     """vectors: distinct, valid (rep, label, dim, embedding, copies). Rows (id, links, root): links found in one pair of blocks,
     copies counted, and the smallest id tied to id there."""
@@ -125,42 +219,27 @@ def search(vectors: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
             for dim, own in pdf.groupby("dim"):
                 model, x = models.value[dim], _unit(own["embedding"])
                 which, codes, off = model.encode(x)
-                yield pd.DataFrame({"rep": own["rep"].to_numpy(), "label": own["label"].to_numpy(), "dim": dim, "copies": own["copies"].to_numpy(), "embedding": own["embedding"].to_numpy(), "list": which, "codes": [c.tobytes() for c in codes], "off": off, "probes": [p.astype(np.int32) for p in model.probes(x, reach + SLACK)]})
+                small, lost = _rounded(x)
+                probes = [p.astype(np.int32) for p in model.probes(x, reach + SLACK)]
+                yield pd.DataFrame({"rep": own["rep"].to_numpy(), "label": own["label"].to_numpy(), "dim": dim, "copies": own["copies"].to_numpy(), "embedding": own["embedding"].to_numpy(), "home": which, "probes": probes, "codes": [c.tobytes() for c in codes], "off": off, "small": [v.tobytes() for v in small], "lost": lost})
 
-    indexed = cut(vectors.mapInPandas(index, "rep long, label string, dim int, copies long, embedding array<double>, list int, codes binary, off double, probes array<int>"))
-    members, queries = indexed.drop("probes"), indexed.select("rep", "label", "dim", "copies", "embedding", F.explode("probes").alias("list"))
-    key = ["label", "dim", "list"]
-    size = members.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("mb")).join(queries.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("qb")), key)
-    block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    none = F.lit(None)
-    m = members.join(size, key).withColumn("m", block("mb")).withColumn("q", every("qb")).select(*key, "m", "q", F.lit(True).alias("member"), "rep", "copies", "embedding", "codes", "off")
-    q = queries.join(size, key).withColumn("q", block("qb")).withColumn("m", every("mb")).select(*key, "m", "q", F.lit(False).alias("member"), "rep", "copies", "embedding", none.cast("binary").alias("codes"), none.cast("double").alias("off"))
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    indexed = cut(vectors.mapInPandas(index, f"rep long, label string, dim int, copies long, embedding {kind}, home int, probes array<int>, codes binary, off double, small binary, lost double"))
+
+    def can_have_partners(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        model, x = models.value[int(group[1])], _unrounded(pdf["x"])
+        wider = pdf["lost"].to_numpy()
+        found = _pairs(model, int(group[2]), pdf.assign(same=group[3] == group[4]), x, wider, reach, lambda a, b: ((x[a] - x[b]) ** 2).sum(1) <= (reach + wider[a] + wider[b] + SLACK) ** 2)
+        return pd.DataFrame({"rep": found.rows()["id"]})
 
     def compare(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        model, which = models.value[int(group[1])], int(group[2])
-        mem, qry = pdf[pdf["member"]], pdf[~pdf["member"]]
-        if not len(mem) or not len(qry):
-            return pd.DataFrame({"id": [], "links": [], "root": []}).astype("int64")
-        x, y = _unit(qry["embedding"]), _unit(mem["embedding"])
-        codes, off = np.stack([np.frombuffer(c, np.uint8) for c in mem["codes"]]), mem["off"].to_numpy()
-        qid, mid, copies = qry["rep"].to_numpy(), mem["rep"].to_numpy(), mem["copies"].to_numpy()
-        left, right = [], []
-        step = max(1, 2_000_000 // len(mem))
-        for s in range(0, len(x), step):
-            i, j = np.nonzero(model.bounds(x[s : s + step], which, codes) <= reach + off[None] + SLACK)
-            for t in range(0, len(i), PAIRS_AT_ONCE):
-                a, b = i[t : t + PAIRS_AT_ONCE] + s, j[t : t + PAIRS_AT_ONCE]
-                near = (np.einsum("ij,ij->i", x[a], y[b]) >= min_cosine) & (qid[a] != mid[b])
-                left.append(a[near].astype(np.int32))
-                right.append(b[near].astype(np.int32))
-        left, right = np.concatenate(left), np.concatenate(right)
-        links = np.bincount(left, weights=copies[right], minlength=len(x)).astype(np.int64)
-        ids, root = roots(qid[left], mid[right])
-        out = pd.DataFrame({"id": ids, "root": root}).merge(pd.DataFrame({"id": qid, "links": links}), on="id", how="left")
-        return out.fillna({"links": 0}).astype({"links": "int64"})[["id", "links", "root"]]
-
-    return m.unionByName(q).groupBy(*key, "m", "q").applyInPandas(compare, "id long, links long, root long")
+        x = _unit(pdf["x"])
+        return _pairs(models.value[int(group[1])], int(group[2]), pdf.assign(same=group[3] == group[4]), x, np.zeros(len(x)), reach, lambda a, b: np.einsum("ij,ij->i", x[a], x[b]) >= min_cosine).rows()
+
+    key = ["label", "dim", "list", "p", "q"]
+    first = _dealt(indexed.withColumn("small", F.struct("small", "lost")), "small").select(*key, "b", *ITEM, F.col("x.small").alias("x"), F.col("x.lost").alias("lost"))
+    active = cut(first.groupBy(*key).applyInPandas(can_have_partners, "rep long").distinct())
+    return _dealt(indexed.join(active, "rep", "left_semi"), "embedding").groupBy(*key).applyInPandas(compare, "id long, links long, root long")
 
 
 def near_duplicates(vectors: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
@@ -169,20 +248,26 @@ def near_duplicates(vectors: DataFrame, min_cosine: float = MIN_COSINE) -> DataF
     vectors: vec_id, embedding and label; other columns are ignored. Only vectors of one non-null label and one length are
     compared. A null, empty or zero vector, or one with a null or non-finite component, links with nothing, nor does one
     without label or vec_id. Equal vectors link with each other. Repeated rows of one vec_id with one vector are one vector, and
-    come back as often as they came in. An empty table gives no row.
+    come back as often as they came in. An empty table gives no row. Equal vectors are told by two 64-bit hashes of label and vector.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    good = rows.where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & valid(F.col("embedding")))
-    same = ["label", "embedding"]
-    distinct = cut(good.distinct().groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("dim", F.size("embedding")))
+    kind = vectors.schema["embedding"].dataType
+    exact = kind if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType | DoubleType) else ArrayType(DoubleType())
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast(exact).alias("embedding"))
+    rows = rows.withColumn("ok", F.col("label").isNotNull() & F.col("vec_id").isNotNull() & valid(F.col("embedding")))
+    same = ["h1", "h2"]
+    rows = rows.withColumn("h1", F.xxhash64("label", "embedding")).withColumn("h2", F.xxhash64(F.lit(1), "embedding", "label"))
+    good = rows.where("ok")
+    kinds = cut(good.select("vec_id", *same).distinct().groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
+    # the row that stands for its equals: its vec_id and its hashes name it; repeated rows of it are one
+    own = good.join(kinds, [*same], "inner").where(F.col("vec_id") == F.col("rep")).select("rep", "label", F.size("embedding").alias("dim"), "embedding", "copies", *same)
+    distinct = own.dropDuplicates(["rep", *same]).drop(*same)
     found = cut(search(distinct, min_cosine))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     comps = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    named = good.join(distinct.drop("dim"), same).select("vec_id", "rep", "copies", *same).distinct()
-    of_rep = distinct.select("rep").distinct().join(links, F.col("rep") == links["id"], "left").drop("id").join(comps, F.col("rep") == comps["id"], "left").select("rep", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = named.join(of_rep, "rep").select("vec_id", *same, (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id")
-    bad = rows.where(~(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & valid(F.col("embedding")))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    ok = good.join(linked, ["vec_id", *same]).select("vec_id", "n_links", "component_id")
+    of_rep = links.join(comps, "id", "left").select(F.col("id").alias("rep"), "links", F.coalesce("component", "id").alias("component"))
+    named = kinds.join(of_rep, "rep", "left").select(*same, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    ok = good.select("vec_id", *same).join(named, same).select("vec_id", "n_links", "component_id")
+    bad = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return ok.unionByName(bad).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
