@@ -8,8 +8,11 @@ words; version numbers are words of their own, as dots aren't part of words, and
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+#: Beginnings of words that many patterns can't do without, looked for before the keywords; the first that a pattern needs is its gate.
+GATES = (" identifier ", " licen", " under ", " org ", " software ", " terms ", " public ", " use ")
 #: How sure a detection of each tier is.
 CONFIDENCE = (1.0, 0.95, 0.85, 0.7)
 
@@ -319,14 +322,26 @@ class Rule:
     rank: int  # place in the order of priority
     tier: int
     label: str
+    gate: str
     keyword: str
     pattern: str  # matches whole words of " word word ... word "; neither the blank before nor the one after is in it
     confidence: float
     base: bool = False
 
 
+def needed(pattern: str) -> str:
+    """What of a pattern stands in all of its matches, with a mark where something else may."""
+    while (less := re.sub(r"\(\?:[^()]*\)\??", "\0", pattern)) != pattern:
+        pattern = less
+    return f" {re.sub(r'.\?|\[[^]]*\]\??', chr(0), pattern)} "
+
+
+def gate_of(pattern: str, keyword: str) -> str:
+    return next((g for g in GATES if g in needed(pattern)), f" {keyword}")
+
+
 def rules() -> list[Rule]:
     last = len(CONFIDENCE) - 1
     every = [(t, label, keyword, pattern, False) for t, label, keyword, pattern in SIGNATURES] + [(last, label, phrase, phrase, True) for label, phrase in BASE]
     every.sort(key=lambda r: r[0])  # stable: within a tier as written
-    return [Rule(k, t, label, f" {keyword}", f"(?<= )(?:{pattern})(?= )", CONFIDENCE[t], base) for k, (t, label, keyword, pattern, base) in enumerate(every)]
+    return [Rule(k, t, label, gate_of(pattern, keyword), f" {keyword}", f"(?<= )(?:{pattern})(?= )", CONFIDENCE[t], base) for k, (t, label, keyword, pattern, base) in enumerate(every)]

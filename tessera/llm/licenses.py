@@ -2,7 +2,7 @@
 
 Everything is a DataFrame expression on one row: no join, no shuffle, whole texts. A text is normalised to words parted by single
 blanks. A rule's regular expression runs only where its keyword stands in the text; keywords are looked for once for
-all rules that share them. Each match is an interval of words. Matches are sorted by start, longer ones first, and swept
+all rules that share them, and only where the text holds what all of their patterns need. Each match is an interval of words. Matches are sorted by start, longer ones first, and swept
 once: a match that lies inside another of the same or an earlier tier is suppressed.
 
 Sums and maxima that run along a text's matches are taken by chunks of CHUNK, so that a text with very many matches costs little more than
@@ -24,7 +24,7 @@ BREAKS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 CHUNK = 64
 
 HIT = "struct<first: int, last: int, tier: int, rank: int, label: string, confidence: double, base: boolean>"
-GROUPS = "array<struct<keyword: string, rules: array<struct<rank: int, tier: int, label: string, pattern: string, confidence: double, base: boolean>>>>"
+GROUPS = "array<struct<gate: string, groups: array<struct<keyword: string, rules: array<struct<rank: int, tier: int, label: string, pattern: string, confidence: double, base: boolean>>>>>>"
 
 
 def _lowered(text: Column) -> Column:
@@ -83,11 +83,13 @@ def _step(s: Column, x: Column, rule: Column) -> Column:
 
 def detections(norm: Column, own: list[Rule]) -> Column:
     """Array of HIT: every match of every rule whose keyword the text holds."""
-    by_keyword: dict[str, list[dict]] = {}
+    gates: dict[str, dict[str, list[dict]]] = {}
     for r in own:
-        by_keyword.setdefault(r.keyword, []).append({"rank": r.rank, "tier": r.tier, "label": r.label, "pattern": r.pattern, "confidence": r.confidence, "base": r.base})
-    groups = F.from_json(F.lit(json.dumps([{"keyword": k, "rules": rs} for k, rs in by_keyword.items()])), GROUPS)  # one literal
-    near = F.filter(groups, lambda g: F.contains(norm, g["keyword"]))
+        gates.setdefault(r.gate, {}).setdefault(r.keyword, []).append({"rank": r.rank, "tier": r.tier, "label": r.label, "pattern": r.pattern, "confidence": r.confidence, "base": r.base})
+    made = [{"gate": g, "groups": [{"keyword": k, "rules": rs} for k, rs in by_keyword.items()]} for g, by_keyword in gates.items()]
+    literal = F.from_json(F.lit(json.dumps(made)), GROUPS)  # one literal
+    opened = F.filter(literal, lambda x: F.contains(norm, x["gate"]))
+    near = F.filter(F.flatten(F.transform(opened, lambda x: x["groups"])), lambda g: F.contains(norm, g["keyword"]))
     tried = F.filter(F.flatten(F.transform(near, lambda g: g["rules"])), lambda r: F.rlike(norm, r["pattern"]))
     return F.flatten(F.transform(tried, lambda r: _matches(norm, r)))
 

@@ -136,7 +136,7 @@ def test_licence_keywords_are_implied():
         inner = r.pattern.removeprefix("(?<= )").removesuffix("(?= )")
         for t in texts_of(r.pattern):
             assert re.fullmatch(inner, t)
-            assert r.keyword in f" {t} ", (r, t)
+            assert r.keyword in f" {t} " and r.gate in f" {t} ", (r, t)
 
 
 def test_licence_scan_is_the_same_without_keywords(spark):
@@ -152,7 +152,7 @@ def test_licence_scan_is_the_same_without_keywords(spark):
     }
     df = spark.createDataFrame(list(enumerate([*said, *texts])), "doc_id long, text string")
     got = {r["doc_id"]: r["detections"] for r in licenses.scan(df).collect()}
-    assert got == {r["doc_id"]: r["detections"] for r in licenses.scan(df, [replace(r, keyword=" ") for r in rules()]).collect()}
+    assert got == {r["doc_id"]: r["detections"] for r in licenses.scan(df, [replace(r, gate=" ", keyword=" ") for r in rules()]).collect()}
     for i, (text, (label, sure)) in enumerate(said.items()):
         assert (label, sure) in [(d["label"], d["confidence"]) for d in got[i]], (text, got[i])
     for i, text in enumerate([*said, *texts]):
