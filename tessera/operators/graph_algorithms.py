@@ -75,14 +75,16 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 
-def reach(edges: DataFrame, seeds: DataFrame, reverse: bool = False, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, reverse: bool = False, max_depth: int | None = None) -> DataFrame:
     """id, depth of all nodes that can be reached from the seeds (id), those included at depth 0. reverse: ancestors. Cycles are safe: a node is
-    visited once."""
+    visited once. It goes on until nothing new is reached; with max_depth, no further than that."""
     a, b = ("dst_id", "src_id") if reverse else ("src_id", "dst_id")
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()
     seen = cut(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
     front = seen
-    for depth in range(1, max_rounds + 1):
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         front = cut(front.join(e, front["id"] == e["a"]).select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
         if not front.limit(1).count():
             return seen
@@ -104,7 +106,8 @@ def flood_similarity(src_edges: DataFrame, dst_edges: DataFrame, candidates: Dat
     degree = sa.groupBy("s").agg(F.count("*").alias("deg"))
     base = cut(candidates.select("s", "t", F.col("sigma").cast("double").alias("sigma0")))
     now = base.withColumnRenamed("sigma0", "sigma")
-    pairs = cut(base.join(sa, "s").join(ta, ["t", "arm"]).select("s", "t", "arm", "sn", "tn", "w").join(base.select(F.col("s").alias("sn"), F.col("t").alias("tn")), ["sn", "tn"], "left_semi"))
+    # over the candidates of the neighbour, and not over all neighbours of t, so that a hub's arms aren't paired
+    pairs = cut(base.join(sa, "s").join(base.select(F.col("s").alias("sn"), F.col("t").alias("tn")), "sn").join(ta, ["t", "arm", "tn"]).select("s", "t", "arm", "sn", "tn", "w"))
     for _ in range(rounds):
         best = pairs.join(now.select(F.col("s").alias("sn"), F.col("t").alias("tn"), "sigma"), ["sn", "tn"]).groupBy("s", "t", "arm", "sn").agg((F.first("w") * F.max("sigma")).alias("x"))
         fed = best.groupBy("s", "t").agg(F.sum("x").alias("x")).join(degree, "s").select("s", "t", (F.col("x") / F.col("deg")).alias("x"))
@@ -116,18 +119,20 @@ def flood_similarity(src_edges: DataFrame, dst_edges: DataFrame, candidates: Dat
     return now
 
 
-def greedy_matching(pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def greedy_matching(pairs: DataFrame) -> DataFrame:
     """s, t, sigma: the injective matching that takes pairs by (sigma falling, s, t) and skips what is taken. A pair that is the best of both
-    its ends is taken at once and its ends are done; rounds of that give the same as one sorted pass, as the order is total."""
+    its ends is taken at once and its ends are done; rounds of that give the same as one sorted pass, as the order is total. It goes on until no
+    pair is left: each round takes one at least."""
     left = cut(pairs.select("s", "t", "sigma"))
-    out = None
-    for _ in range(max_rounds):
+    out, rounds = None, 0
+    while True:
         key = F.struct((-F.col("sigma")).alias("k"), "s", "t")
         bs, bt = left.groupBy("s").agg(F.min(key).alias("bs")), left.groupBy("t").agg(F.min(key).alias("bt"))
         take = cut(left.join(bs, "s").join(bt, "t").where((F.col("bs") == F.col("bt")) & (F.col("bs.t") == F.col("t")) & (F.col("bs.s") == F.col("s"))).select("s", "t", "sigma"))
         if not take.limit(1).count():
             break
-        out = take if out is None else out.unionByName(take)
+        out, rounds = take if out is None else out.unionByName(take), rounds + 1
+        out = out if rounds % 16 else cut(out)
         left = cut(left.join(take.select("s"), "s", "left_anti").join(take.select("t"), "t", "left_anti"))
     return left.limit(0) if out is None else out
 
@@ -146,8 +151,9 @@ def name_bridges(nodes: DataFrame, generic: tuple[str, ...] = (), per_pair: int
     """src_id, dst_id: nodes of different repos with one short name of more than two characters, at most per_pair for each node and other repo."""
     named = nodes.where((F.length("short_name") > 2) & ~F.lower("short_name").isin("", *generic)).select("id", "repo", "short_name")
     a, b = named.select(F.col("id").alias("src_id"), F.col("repo").alias("ra"), "short_name"), named.select(F.col("id").alias("dst_id"), F.col("repo").alias("rb"), "short_name")
-    met = a.join(b, "short_name").where(F.col("ra") < F.col("rb"))
-    return met.withColumn("rn", F.row_number().over(Window.partitionBy("src_id", "rb").orderBy("dst_id"))).where(F.col("rn") <= per_pair).select("src_id", "dst_id")
+    # the nodes that any bridge of a name into a repo can end at: ranked first, so that a common name isn't turned into all pairs
+    ends = b.withColumn("rn", F.row_number().over(Window.partitionBy("short_name", "rb").orderBy("dst_id"))).where(F.col("rn") <= per_pair)
+    return a.join(ends, "short_name").where(F.col("ra") < F.col("rb")).select("src_id", "dst_id")
 
 
 def orbit_signature(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -157,3 +163,86 @@ def orbit_signature(edges: DataFrame, labels: DataFrame) -> DataFrame:
     seen = both.join(labels.withColumnsRenamed({"id": "other", "label": "ol"}), "other").groupBy("id", F.concat_ws(":", "arm", "ol").alias("x")).agg(F.count("*").alias("n"))
     line = seen.groupBy("id").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "x", F.col("n").cast("string")))), ";").alias("around"))
     return labels.join(line, "id", "left").select("id", F.substring(F.sha2(F.concat_ws("|", "label", F.coalesce("around", F.lit(""))), 256), 1, 16).alias("signature"))
+
+
+def scc(edges: DataFrame) -> DataFrame:
+    """id, component (largest id) of the strongly connected components with two nodes or more, self-loops left out.
+
+    Forward colouring: each node takes over the largest id that reaches it; the nodes of a colour that reach its root backwards within the
+    colour are one component. What is settled leaves, and so does what has no way in or out; the rest goes on.
+    """
+    e = cut(edges.select(F.col("src_id").alias("a"), F.col("dst_id").alias("b")).where("a <> b").distinct())
+    done = None
+    while e.limit(1).count():
+        # what nothing leads to, or that leads nowhere, is in no cycle
+        trimmed = e.join(e.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(e.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
+        trimmed = cut(trimmed)
+        if trimmed.count() < e.count():
+            e = trimmed
+            continue
+        ids = e.select(F.col("a").alias("id")).distinct()
+        colour = cut(ids.withColumn("colour", F.col("id")))
+        while True:
+            seen = e.join(colour.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.max("colour").alias("c"))
+            new = cut(colour.join(seen, "id", "left").select("id", F.greatest("colour", F.coalesce("c", "colour")).alias("colour")))
+            moved = new.join(colour.withColumnRenamed("colour", "old"), "id").where("colour <> old").limit(1).count()
+            colour = new
+            if not moved:
+                break
+        inside = e.join(colour.select(F.col("id").alias("a"), F.col("colour").alias("ca")), "a").join(colour.select(F.col("id").alias("b"), F.col("colour").alias("cb")), "b").where("ca = cb").select("a", "b")
+        back = reach(inside.select(F.col("a").alias("src_id"), F.col("b").alias("dst_id")), colour.where("id = colour").select("id"), reverse=True).select("id").join(colour, "id")
+        done = cut(back if done is None else done.unionByName(back))
+        rest = back.select("id")
+        e = cut(e.join(rest.withColumnRenamed("id", "a"), "a", "left_anti").join(rest.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b"))
+    if done is None:
+        return edges.select(F.col("src_id").alias("id"), F.col("src_id").alias("component")).limit(0)
+    large = done.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1").select("colour")
+    return done.join(large, "colour", "left_semi").select("id", F.col("colour").alias("component"))
+
+
+def upward_closure(assigned: DataFrame) -> DataFrame:
+    """assigned: member, parent, at. member, ancestor: all groups that a member is in, by its newest assignment and those of its groups. A null parent
+    is the end of a membership; cycles are safe."""
+    newest = assigned.groupBy("member").agg(F.max_by("parent", "at").alias("parent")).where("parent is not null and parent <> member")
+    up = cut(newest.select("member", F.col("parent").alias("ancestor")))
+    front = up
+    while True:
+        step = front.join(newest.select(F.col("member").alias("ancestor"), F.col("parent").alias("next")), "ancestor").select("member", F.col("next").alias("ancestor")).distinct()
+        front = cut(step.join(up, ["member", "ancestor"], "left_anti"))
+        if not front.limit(1).count():
+            return up
+        up = cut(up.unionByName(front))
+
+
+def arc_consistent(src_edges: DataFrame, dst_edges: DataFrame, candidates: DataFrame, least: float = 0.05, share: float = 0.25) -> DataFrame:
+    """s, t, sigma: candidates of at least this similarity whose arms are supported: of the distinct arms (direction, kind, neighbour) of s, at least
+    `share` (rounded up) have a candidate that is a neighbour of t by the same direction and kind. Where none of an s is left, its best
+    (similarity falling, then t) stays."""
+
+    def arms(e: DataFrame, node: str, other: str) -> DataFrame:
+        out = e.select(F.col("src_id").alias(node), F.col("dst_id").alias(other), F.concat(F.lit("o:"), "kind").alias("arm"))
+        return out.unionByName(e.select(F.col("dst_id").alias(node), F.col("src_id").alias(other), F.concat(F.lit("i:"), "kind").alias("arm"))).distinct()
+
+    sa, ta = arms(src_edges, "s", "sn"), arms(dst_edges, "t", "tn")
+    base = cut(candidates.select("s", "t", "sigma"))
+    met = base.join(sa, "s").join(base.select(F.col("s").alias("sn"), F.col("t").alias("tn")), "sn").join(ta, ["t", "arm", "tn"], "left_semi")
+    held = met.select("s", "t", "arm", "sn").distinct().groupBy("s", "t").agg(F.count("*").alias("held"))
+    degree = sa.groupBy("s").agg(F.count("*").alias("deg"))
+    judged = cut(base.join(held, ["s", "t"], "left").join(degree, "s", "left").withColumn("ok", (F.round("sigma", 9) >= least) & (F.coalesce("held", F.lit(0)) >= F.ceil(share * F.coalesce("deg", F.lit(0))))))
+    kept = judged.where("ok")
+    best = judged.join(kept.select("s").distinct(), "s", "left_anti").groupBy("s").agg(F.min(F.struct((-F.round("sigma", 9)).alias("k"), "t", "sigma")).alias("b")).select("s", "b.t", "b.sigma")
+    return kept.select("s", "t", "sigma").unionByName(best)
+
+
+def wave_clusters(uses: DataFrame, frozen: DataFrame) -> DataFrame:
+    """uses: feature, kind; frozen: kind. wave (from 1, larger first, then by first feature), first_feature, n_features, n_shared: features that
+    share kinds, directly or through others, once the frozen kinds are taken out; n_shared: kinds that two features or more of them use."""
+    live = cut(uses.select("feature", "kind").distinct().join(frozen.select("kind").distinct(), "kind", "left_anti").select("feature", "kind"))
+    shared = live.groupBy("kind").agg(F.count("*").alias("n")).where("n > 1").select("kind")
+    tied = live.join(shared, "kind").select(F.concat(F.lit("f:"), "feature").alias("src_id"), F.concat(F.lit("k:"), "kind").alias("dst_id"))
+    comps = components(tied)
+    named = uses.select("feature").distinct().join(comps.where("id like 'f:%'").select(F.expr("substr(id, 3)").alias("feature"), "component"), "feature", "left")
+    named = named.withColumn("component", F.coalesce("component", F.concat(F.lit("f:"), "feature")))
+    kinds = comps.where("id like 'k:%'").groupBy("component").agg(F.count("*").alias("n_shared"))
+    per = named.groupBy("component").agg(F.min("feature").alias("first_feature"), F.count("*").alias("n_features")).join(kinds, "component", "left")
+    return per.select(F.row_number().over(Window.orderBy(F.col("n_features").desc(), "first_feature")).alias("wave"), "first_feature", "n_features", F.coalesce("n_shared", F.lit(0)).alias("n_shared"))  # a row a wave

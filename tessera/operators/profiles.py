@@ -43,10 +43,11 @@ def profile_array(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def profile_depth2(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One refinement round in long form: id, block (kind:direction of the edge to the neighbour), dim, mean: the mean over the
     block's neighbours of their depth-1 counts. Zero means are left out."""
-    own = profile_long(nodes, edges).select(F.col("id").alias("other"), F.concat("kind", F.lit(":"), "direction").alias("dim"), "n")
+    counts = profile_long(nodes, edges).select("id", F.concat("kind", F.lit(":"), "direction").alias("dim"), "n")
+    own = counts.select(F.col("id").alias("other"), "dim", "n")
     ends = nodes.select("id")
     met = incidence(edges).join(ends, "id", "left_semi").select("id", F.concat("kind", F.lit(":"), "direction").alias("block"), "other")
-    size = met.groupBy("id", "block").agg(F.count("*").alias("size"))
+    size = counts.select("id", F.col("dim").alias("block"), F.col("n").alias("size"))  # a block's neighbours are what depth 1 counts
     total = met.join(own, "other").groupBy("id", "block", "dim").agg(F.sum("n").alias("total"))
     return total.join(size, ["id", "block"]).select("id", "block", "dim", (F.col("total") / F.col("size")).alias("mean"))
 
@@ -87,9 +88,10 @@ def marginal_entropy(vectors: DataFrame) -> DataFrame:
 
 
 def role_buckets(vectors: DataFrame, k: int, min_size: int = 2) -> DataFrame:
-    """Groups of nodes whose discretised profiles agree: role_id (digest of the members), key, n, first_member. Isolates are dropped."""
+    """Groups of nodes whose discretised profiles agree: role_id (digest of the members, in no order), key, n, first_member. Isolates are
+    dropped. The digest is of sums of the members' hashes, so that no group is gathered."""
     live = vectors.where(F.exists("vec", lambda x: x != 0))
-    groups = live.groupBy(bucket_key(F.col("vec"), k).alias("key")).agg(F.count("*").alias("n"), F.min("id").alias("first_member"), F.array_join(F.sort_array(F.collect_list("id")), "\n").alias("members"))
+    groups = live.groupBy(bucket_key(F.col("vec"), k).alias("key")).agg(F.count("*").alias("n"), F.min("id").alias("first_member"), F.concat_ws(":", *[F.sum(F.conv(F.substring(F.md5(F.col("id").cast("binary")), k, 8), 16, 10).cast("long")).cast("string") for k in (1, 9, 17)]).alias("members"))
     return groups.where(F.col("n") >= min_size).select(F.substring(F.sha2("members", 256), 1, 16).alias("role_id"), "key", "n", "first_member")
 
 

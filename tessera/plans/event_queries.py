@@ -80,14 +80,11 @@ def unknown_kinds(spark, d):
 )
 def precision_recall(spark, d):
     """A stated query set (ids divisible by 20) against all vectors."""
-    from pyspark.sql import Window
-
-    from tessera.functions.vectors import cosine
+    from tessera.operators.similarity import nearest_of
 
     v = g.table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
     q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("label").alias("ql"), F.col("e").alias("qe"))
-    sims = v.crossJoin(q).where("vec_id <> query").select("query", F.col("vec_id").alias("item"), F.round(cosine(F.col("e"), F.col("qe")), 9).alias("sim"))
-    ranked = sims.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("sim").desc(), "item"))).where("rank <= 20")
+    ranked = nearest_of(q.select(F.col("query").alias("id"), F.col("qe").alias("vec")), v.select(F.col("vec_id").alias("id"), F.col("e").alias("vec")), 20).select("query", F.col("id").alias("item"), "rank")
     relevant = v.join(q, v["label"] == q["ql"]).where("vec_id <> query").select("query", F.col("vec_id").alias("item"))
     return s.precision_recall(ranked, relevant).select("k", *r6("precision", "recall"))
 

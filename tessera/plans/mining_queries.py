@@ -88,7 +88,7 @@ def _key(k: str, even: bool) -> str:
 
 @query(
     "role_buckets",
-    graph_sql(f"""{VEC} SELECT substr(sha256(string_agg(id, chr(10) ORDER BY id)), 1, 16) AS role_id, {_key("4", True)} AS "key", count(*) AS n, min(id) AS first_member
+    graph_sql(f"""{VEC} SELECT substr(sha256(sum(('0x' || substr(md5(id), 1, 8))::BIGINT)::VARCHAR || ':' || sum(('0x' || substr(md5(id), 9, 8))::BIGINT)::VARCHAR || ':' || sum(('0x' || substr(md5(id), 17, 8))::BIGINT)::VARCHAR), 1, 16) AS role_id, {_key("4", True)} AS "key", count(*) AS n, min(id) AS first_member
     FROM vecs WHERE list_sum(vec) > 0 GROUP BY "key" HAVING count(*) >= 2"""),
 )
 def role_buckets(spark, d):

@@ -19,20 +19,18 @@ def changed_files(batch: DataFrame, stored: DataFrame) -> DataFrame:
     return batch.join(stored.select("file", "hash").distinct(), ["file", "hash"], "left_anti")
 
 
-def refold(spark: SparkSession, log_path: str, batch: DataFrame, as_of: int | None = None, fold: Callable[..., DataFrame] = fold_balance) -> DataFrame:
-    """Appends a batch to the log and folds, over the whole log, the keys that the batch holds."""
-    batch.write.mode("append").parquet(log_path)
-    log = spark.read.schema(batch.schema).parquet(log_path)
+def refold(spark: SparkSession, log_path: str, batch: DataFrame, batch_id: int, as_of: int | None = None, fold: Callable[..., DataFrame] = fold_balance) -> DataFrame:
+    """Stores a batch in the log and folds, over the whole log, the keys that the batch holds. A batch has a folder of its own, which a retry
+    replaces, so no event is stored twice."""
+    batch.write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
+    log = spark.read.schema(batch.schema).parquet(log_path).select(*batch.columns)
     return fold(log.join(batch.select("key").distinct(), "key", "left_semi"), as_of)
 
 
 def start_refold(stream: DataFrame, log_path: str, out: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """A streaming query that hands out(refolded keys, batch id) for each micro-batch. A batch that is retried after a failure appends its events
-    again, so events are folded once by (key, hlc)."""
+    """A streaming query that hands out(refolded keys, batch id) for each micro-batch."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        once = lambda log, as_of: fold_balance(log.dropDuplicates(["key", "hlc"]), as_of)
-        out(refold(spark, log_path, batch, fold=once), batch_id)
+        out(refold(batch.sparkSession, log_path, batch, batch_id), batch_id)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -109,3 +109,73 @@ def test_ledger(spark, tmp_path):
     (tmp_path / "l.jsonl").write_text('// note\n{"a": 1}\n\n{"a": 2\n')
     rows = files.read_ledger(spark, str(tmp_path / "l.jsonl"), "a long").select("a", "malformed").collect()
     assert sorted((r["malformed"], r["a"]) for r in rows if not r["malformed"]) == [(False, 1)] and sum(r["malformed"] for r in rows) == 1
+
+
+def test_reach_and_matching_go_on_to_the_end(spark):
+    n = 104
+    chain = spark.createDataFrame([(i, i + 1) for i in range(n)], "src_id long, dst_id long")
+    got = ga.reach(chain, spark.createDataFrame([(0,)], "id long"))
+    assert {(r["id"], r["depth"]) for r in got.collect()} == {(i, i) for i in range(n + 1)}
+    assert ga.reach(chain, spark.createDataFrame([(0,)], "id long"), max_depth=3).count() == 4
+    # each pair but the best is blocked by a better one: a round settles one of them
+    ladder = spark.createDataFrame([(i // 2 + i % 2, i // 2, 1 - i / 100) for i in range(40)], "s long, t long, sigma double")
+    assert {(r["s"], r["t"]) for r in ga.greedy_matching(ladder).collect()} == {(i, i) for i in range(20)}
+
+
+def test_strong_components_against_mutual_reach(spark):
+    import random
+
+    rnd = random.Random(3)
+    pairs = [(rnd.randrange(40), rnd.randrange(40)) for _ in range(55)] + [(100, 101), (101, 102), (102, 100), (7, 7)]
+    to = {v: {v} for p in pairs for v in p}
+    for _ in to:
+        for a, b in pairs:
+            to[a] |= to[b]
+    want = {v: max(u for u in to[v] if v in to[u]) for v in to}
+    want = {v: c for v, c in want.items() if list(want.values()).count(c) > 1}
+    assert {r["id"]: r["component"] for r in ga.scc(spark.createDataFrame(pairs, "src_id long, dst_id long")).collect()} == want
+    assert ga.scc(spark.createDataFrame([(1, 2)], "src_id long, dst_id long")).count() == 0
+
+
+def test_betweenness_against_all_shortest_paths(spark):
+    import random
+
+    rnd = random.Random(8)
+    pairs = sorted({(rnd.randrange(14), rnd.randrange(14)) for _ in range(32)} - {(i, i) for i in range(14)})
+    for directed in (True, False):
+        arcs = pairs if directed else [*pairs, *[(b, a) for a, b in pairs]]
+        near = {v: {b for a, b in arcs if a == v} for v in range(14)}
+        ids, want = {v for p in pairs for v in p}, dict.fromkeys(range(14), 0.0)
+        for s in ids:
+            paths, done = [[s]], {s: [[s]]}
+            while paths:
+                longer = [[*q, u] for q in paths for u in near[q[-1]] if u not in done]
+                for q in longer:
+                    done.setdefault(q[-1], []).append(q)
+                paths = longer
+            for t in ids & done.keys() - {s}:
+                for q in done[t]:
+                    for v in q[1:-1]:
+                        want[v] += 1 / len(done[t])
+        n = len(ids)
+        df = spark.createDataFrame([("r", f"{a:02}", f"{b:02}", 1.0) for a, b in [*pairs, pairs[0]]], "repo string, src_id string, dst_id string, weight double")
+        got = {int(r["id"]): r["score"] for r in lg.betweenness(df, directed=directed).collect()}
+        assert got.keys() == ids and all(abs(got[v] - want[v] / ((n - 1) * (n - 2))) < 1e-6 for v in ids)
+
+
+def test_refold_stores_a_retried_batch_once(spark, tmp_path):
+    from tessera.streaming import folds
+
+    rows = lambda *xs: spark.createDataFrame([(1, t, (t, 0, "a"), "increment", v, "done") for t, v in xs], EV)
+    log = str(tmp_path / "log")
+    assert folds.refold(spark, log, rows((1, 5)), 0).first()["balance"] == 5
+    for _ in range(2):
+        assert folds.refold(spark, log, rows((2, 7)), 1).first()["balance"] == 12
+    assert spark.read.parquet(log).count() == 2
+    got = []
+    rows((3, 1), (4, 2)).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(EV).parquet(str(tmp_path / "in"))
+    folds.start_refold(stream, str(tmp_path / "log2"), lambda df, _: got.extend(df.collect()), str(tmp_path / "cp")).awaitTermination()
+    assert [r["balance"] for r in got] == [3]
+    stored = spark.createDataFrame([("a", "h1"), ("b", "h2")], "file string, hash string")
+    assert [r["file"] for r in folds.changed_files(spark.createDataFrame([("a", "h1"), ("b", "h3"), ("c", "h1")], "file string, hash string"), stored).orderBy("file").collect()] == ["b", "c"]

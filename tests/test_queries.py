@@ -30,6 +30,6 @@ def test_against_sql(spark, duck, name):
     assert canonical(got) == canonical(duck.execute(catalog.oracle_sql()[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql()) - {"eigenvector"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_runs(spark, name):
     assert catalog.queries()[name](spark, D).count() >= 1
