@@ -21,6 +21,8 @@ broadcast is one row with a few numbers for each source.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,7 +82,7 @@ def lay_out(docs: DataFrame) -> DataFrame:
     starts = totals.withColumn("bucket_start", F.coalesce(F.sum("held").over(ahead), F.lit(0))).withColumnsRenamed({"source": "s", "bucket": "b"}).drop("held")
     inside = Window.partitionBy("source", "bucket").orderBy(F.xxhash64("doc_id", "version", F.lit(SEED + 1)), "doc_id", "version", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = bucketed.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return placed.join(starts, placed["source"].eqNullSafe(F.col("s")) & (placed["bucket"] == F.col("b"))).select("doc_id", "source", "size", (F.col("bucket_start") + F.col("within")).alias("start"))
+    return placed.join(starts, placed["source"].eqNullSafe(F.col("s")) & (placed["bucket"] == F.col("b"))).select("doc_id", "version", "source", "size", (F.col("bucket_start") + F.col("within")).alias("start"))
 
 
 def _upto(x: Column, sums: Column, steps: int) -> Column:
@@ -200,7 +202,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) ->
     """(documents, manifest) of a mix.
 
     docs: doc_id, source, text; other columns are ignored.
-    documents: doc_id, source, size, source_size, target, start (offset in the source's stream).
+    documents: doc_id, version (hash of the text), source, size, source_size, target, start (offset in the source's stream).
     manifest: shard, slot, source, epoch, block_index, doc_id, first_word, n_words: the spans of words that fill the slots, in no order;
     within a slot, spans stand by the document's start.
 
@@ -210,7 +212,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) ->
     sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "source", size_of(F.col("text")).alias("size")))
     plan = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))))
     placed = cut(lay_out(sized))
-    named = placed.join(plan.withColumnRenamed("source", "s"), placed["source"].eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", "start", "rank")
+    named = placed.join(plan.withColumnRenamed("source", "s"), placed["source"].eqNullSafe(F.col("s"))).select("doc_id", "version", "source", "size", "source_size", "target", "start", "rank")
     over = named.where("size > 0").withColumn("block_index", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
     spans = over.join(slots(plan, block, shard_slots), ["rank", "block_index"])
     begin = F.greatest(F.col("start"), F.col("block_index") * block)
@@ -226,6 +228,32 @@ def taken(documents: DataFrame, manifest: DataFrame) -> DataFrame:
     return documents.join(used, same, "left").select(*documents.columns, F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def mixed_documents(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """The rows of docs that a mix takes words of, with size, source_size, target and taken added (replacing columns of those names).
+
+    A row is known by doc_id, text and source; of rows that are the same in these each has its own words in the mix. Rows without doc_id are
+    documents like others; those without a word aren't taken.
+    """
+    made = ["size", "source_size", "target", "taken"]
+    key = {"__mix_doc": F.col("doc_id").cast("long"), "__mix_version": F.xxhash64("text"), "__mix_source": F.col("source")}
+    documents, manifest = mix(docs, block, shard_slots)
+    used = cut(taken(documents, manifest).select(F.col("doc_id").alias("__mix_doc"), F.col("version").alias("__mix_version"), F.col("source").alias("__mix_source"), "start", *made))
+    counts = used.groupBy(*key).agg(F.count("*").alias("n"))
+    repeated = cut(counts.where("n > 1").drop("n"))
+
+    def beside(a: DataFrame, b: DataFrame, how: str, *more: str) -> DataFrame:
+        b = b.withColumnsRenamed({k: f"{k}_" for k in [*key, *more]})
+        same = [a[k].eqNullSafe(b[f"{k}_"]) for k in [*key, *more]]
+        out = a.join(b, functools.reduce(lambda x, y: x & y, same), how)
+        return out.drop(*[f"{k}_" for k in [*key, *more]]) if how == "inner" else out
+
+    rows = docs.drop(*made).withColumns(key)
+    once = beside(beside(rows, repeated, "left_anti"), beside(used, repeated, "left_anti").drop("start"), "inner")
+    number = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
+    several = beside(beside(rows, repeated, "left_semi").withColumn("__mix_copy", number), beside(used, repeated, "left_semi").withColumn("__mix_copy", F.row_number().over(Window.partitionBy(*key).orderBy("start"))).drop("start"), "inner", "__mix_copy")
+    return once.unionByName(several.drop("__mix_copy")).where("taken > 0").drop(*key)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     documents, manifest = mix(table(spark, sf_dir, "documents"))
     return taken(documents, manifest).select("doc_id", "size", "source_size", "target", "taken")
