@@ -47,14 +47,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes words of, with size, source_size, target and taken (words, repeats counted).
-
-    Documents are named by doc_id, which the stages before have made unique; rows without one can't be named in a mix.
-    """
-    named = docs.where("doc_id is not null")
-    documents, manifest = mixing.mix(named)
-    used = mixing.taken(documents, manifest).where("taken > 0").select("doc_id", "size", "source_size", "target", "taken")
-    return named.drop("size", "source_size", "target", "taken").join(used, "doc_id")
+    """Documents that the mix takes words of, with size, source_size, target and taken (words, repeats counted)."""
+    return mixing.mixed_documents(docs)
 
 
 STAGES = [
