@@ -17,7 +17,7 @@ _ENV = "n.id, n.kind, n.repo, n.qualified_name, n.short_name, n.file"
     WHERE e.dst_id = 'P:1' AND e.kind IN ('CALLS', 'REFERENCES') ORDER BY e.kind, n.id LIMIT 500"""),
 )
 def graph_callers(spark, d):
-    return q.callers(g.nodes(spark, d), g.edges(spark, d), "P:1")
+    return q.callers(g.nodes(spark, d, g.beside("P:1")), g.edges(spark, d, touching="P:1"), "P:1")
 
 
 @query(
@@ -27,7 +27,7 @@ def graph_callers(spark, d):
     WHERE e.kind IN ('IMPLEMENTS', 'EXTENDS') ORDER BY n.id LIMIT 500"""),
 )
 def graph_implementers(spark, d):
-    return q.implementers(g.nodes(spark, d), g.edges(spark, d), "B:Brand#11")
+    return q.implementers(g.nodes(spark, d, g.beside("B:Brand#11")), g.edges(spark, d, touching="B:Brand#11"), "B:Brand#11")
 
 
 @query(
@@ -41,7 +41,7 @@ def graph_implementers(spark, d):
     SELECT edge_kind, direction, id, kind, repo, qualified_name, short_name, file FROM r WHERE rn <= 20 ORDER BY place, direction DESC, id LIMIT 20"""),
 )
 def graph_neighbors_both(spark, d):
-    return q.neighbors(g.nodes(spark, d), g.edges(spark, d), "U:1", "both", ("CONTAINS", "READS_FIELD", "CONSTRUCTS"), 20)
+    return q.neighbors(g.nodes(spark, d, g.beside("U:1")), g.edges(spark, d, touching="U:1"), "U:1", "both", ("CONTAINS", "READS_FIELD", "CONSTRUCTS"), 20)
 
 
 def _snapshots(spark, d):

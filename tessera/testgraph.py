@@ -30,7 +30,8 @@ def _node(df: DataFrame, prefix: str, key: str, kind: str, repo, name: str, ast=
     )
 
 
-def nodes(spark: SparkSession, d: str) -> DataFrame:
+def nodes(spark: SparkSession, d: str, prefixes: str = "RNCUOPBT") -> DataFrame:
+    """prefixes: the kinds of nodes that are wanted; the tables of the others aren't read."""
     region, nation = table(spark, d, "region"), table(spark, d, "nation")
     home = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
     part = table(spark, d, "part")
@@ -49,17 +50,36 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
         _node(part.select("p_brand").distinct(), "B", "p_brand", "class", brand, "p_brand"),
         _node(part.select("p_type").distinct(), "T", "p_type", "type_alias", F.lit("TYPES"), "p_type"),
     ]
-    out = parts[0]
-    for p in parts[1:]:
+    wanted = [p for letter, p in zip("RNCUOPBT", parts, strict=True) if letter in prefixes]
+    out = wanted[0]
+    for p in wanted[1:]:
         out = out.unionByName(p)
     return out
 
 
-def edges(spark: SparkSession, d: str) -> DataFrame:
+#: The kinds of nodes at the two ends of edges.
+ENDS = ("RN", "NC", "NU", "CO", "OP", "UP", "PB", "PT")
+
+
+def beside(node: str) -> str:
+    """Kinds of nodes that can be next to this one, and its own."""
+    return "".join(sorted({k for pair in ENDS if node[0] in pair for k in pair}))
+
+
+def edges(spark: SparkSession, d: str, touching: str | None = None) -> DataFrame:
+    """touching: only edges with this node at an end; its key is compared in the tables before ids are made, so that the scans can skip what isn't wanted."""
     nation, part, line = table(spark, d, "nation"), table(spark, d, "part"), table(spark, d, "lineitem")
 
+    prefix, _, key = (touching or "").partition(":")
+
+    def at_end(df: DataFrame, a: str, ak: str, b: str, bk: str) -> DataFrame:
+        if touching is None:
+            return df
+        mine = [F.col(k) == (key if dict(df.dtypes)[k] == "string" else int(key)) for p, k in ((a, ak), (b, bk)) if p == prefix]
+        return df.where(mine[0] if len(mine) == 1 else mine[0] | mine[1]) if mine else df.limit(0)
+
     def edge(df: DataFrame, a: str, ak: str, b: str, bk: str, kind, count=None) -> DataFrame:
-        return df.select(_id(a, ak).alias("src_id"), _id(b, bk).alias("dst_id"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), (count if count is not None else F.lit(None).cast("long")).alias("count"))
+        return at_end(df, a, ak, b, bk).select(_id(a, ak).alias("src_id"), _id(b, bk).alias("dst_id"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), (count if count is not None else F.lit(None).cast("long")).alias("count"))
 
     flag = F.when(F.col("l_returnflag") == "A", "READS_FIELD").when(F.col("l_returnflag") == "N", "WRITES_FIELD").otherwise("RAISES")
     parts = [
@@ -67,11 +87,11 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
         edge(table(spark, d, "customer"), "N", "c_nationkey", "C", "c_custkey", "CONTAINS"),
         edge(table(spark, d, "supplier"), "N", "s_nationkey", "U", "s_suppkey", "CONTAINS"),
         edge(table(spark, d, "orders"), "C", "o_custkey", "O", "o_orderkey", "CALLS", F.lit(1).cast("long")),
-        edge(line.groupBy("l_orderkey", "l_partkey").agg(F.count("*").alias("n")), "O", "l_orderkey", "P", "l_partkey", "REFERENCES", F.col("n")),
-        edge(line.select("l_suppkey", "l_partkey").distinct(), "U", "l_suppkey", "P", "l_partkey", "CONSTRUCTS"),
+        edge(at_end(line, "O", "l_orderkey", "P", "l_partkey").groupBy("l_orderkey", "l_partkey").agg(F.count("*").alias("n")), "O", "l_orderkey", "P", "l_partkey", "REFERENCES", F.col("n")),
+        edge(at_end(line, "U", "l_suppkey", "P", "l_partkey").select("l_suppkey", "l_partkey").distinct(), "U", "l_suppkey", "P", "l_partkey", "CONSTRUCTS"),
         edge(part, "P", "p_partkey", "B", "p_brand", "EXTENDS"),
         edge(part, "P", "p_partkey", "T", "p_type", "TYPE_OF"),
-        edge(line.select("l_suppkey", "l_partkey", "l_returnflag").distinct(), "U", "l_suppkey", "P", "l_partkey", flag),
+        edge(at_end(line, "U", "l_suppkey", "P", "l_partkey").select("l_suppkey", "l_partkey", "l_returnflag").distinct(), "U", "l_suppkey", "P", "l_partkey", flag),
     ]
     out = parts[0]
     for p in parts[1:]:
