@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import algorithm_queries, card_queries, event_queries, graph_queries, mining_queries, structure_queries  # noqa: F401
+from tessera.plans import algorithm_queries, card_queries, event_queries, graph_queries, mining_queries, store_queries, structure_queries  # noqa: F401
 from tessera.registry import QUERIES, SQL
 
 
