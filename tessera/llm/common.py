@@ -31,11 +31,13 @@ def ascii_lower(col):
 
 
 def with_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names the shared folder in spark.checkpoint.dir; only where it names none (tests) a temporary one is set."""
+    """The cluster names the shared folder in spark.checkpoint.dir. Only a local session may name none (tests): it gets a temporary one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
 
 

@@ -31,6 +31,7 @@ GRAMS = (2, 3)
 DIM = 16
 SAMPLE_PER_LANGUAGE = 400
 SAMPLE = 60_000
+BROADCAST_LANGUAGES = 50_000  # a table of so many languages with a number each is sent to all tasks
 EPOCHS = 12
 RATE = 20.0
 TARGET_ACCURACY = 0.99
@@ -119,7 +120,13 @@ def sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> pd.DataF
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
     # a language of at most 16 texts offers all of them, so that none goes unlearned by the luck of the hash
     share = counts.select("lang", F.when(F.col("count") <= 16, F.lit(1.0)).otherwise(F.greatest(1.5 * wanted / F.col("count"), 16 / F.col("count"))).alias("share"))
-    near = known.join(share, "lang").where(place < F.col("share")).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", place.alias("place"), "text")
+    chosen = place < F.col("share")
+    if languages <= BROADCAST_LANGUAGES:
+        near = known.join(F.broadcast(share), "lang").where(chosen)
+    else:  # rows are picked without their texts first, of which no more than about 1.5 * SAMPLE are then read
+        picked = known.select("doc_id", "lang").join(share, "lang").where(chosen).select("doc_id", "lang").distinct()
+        near = known.join(picked, ["doc_id", "lang"], "left_semi")
+    near = near.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", place.alias("place"), "text")
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
