@@ -15,10 +15,13 @@ MAX_ROUNDS = 100
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, stored in the shared checkpoint folder that the session names; a temporary one only where it names none."""
+    """df, stored in the shared checkpoint folder that the session names; a local session may name none and gets a temporary one."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
 
