@@ -47,6 +47,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df, to be joined by sending it to all tasks if it has so few rows (a few numbers each), so that the other side's texts needn't be shuffled; beyond
+    that Spark plans the join. df is counted: have it stored."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def crc32_mod(col, modulus: int):
     """crc32 of the id's decimal text, modulo: the folds of the contracts."""
     return F.crc32(col.cast("string").cast("binary")) % F.lit(modulus)

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, cut
+from tessera.llm.common import components, cut, if_small
 from tessera.llm.local_graph import roots
 from tessera.llm.simhash import SEED, _majority, shingle_hashes, trie_pairs
 
@@ -213,7 +213,7 @@ def verified(docs: DataFrame, nodes: DataFrame, stars: DataFrame, shingle_words:
     comps = cut(components(stars).select(F.col("id").alias("fp"), F.col("component").alias("comp")).join(nodes.select("fp", "rep", "size"), "fp"))
     n = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("size") / BLOCK_SHINGLES)).cast("int")
     large = cut(comps.groupBy("comp").agg(n.alias("n")).where("n > 1"))
-    sets = cut(_sets(docs, comps.select("fp", "rep", "comp"), shingle_words, seed))
+    sets = cut(_sets(docs, if_small(comps.select("fp", "rep", "comp")), shingle_words, seed))
     alone = sets.join(large, "comp", "left_anti").select("comp", F.lit(0).alias("p"), F.lit(0).alias("q"), "fp", F.col("fp").alias("label"), F.lit(True).alias("pivot"), "own")
     found = cut(links(alone, min_similarity))
     if not large.limit(1).count():

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, cut
+from tessera.llm.common import components, cut, if_small
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -215,16 +215,16 @@ def drop_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, ma
     keyed = docs.withColumns({doc: F.col("doc_id").cast("long"), version: F.xxhash64(F.coalesce("text", F.lit("")))})
     met = cut(keyed.where(F.col(doc).isNotNull()).groupBy(doc, version).agg(F.count("*").alias("rows")))
     # a document's number is its doc_id; of several texts of one doc_id the other ones get a hash of both
-    several = met.groupBy(doc).agg(F.min(version).alias("least"), F.max(version).alias("most")).where("least <> most").select(doc, "least")
+    several = cut(met.groupBy(doc).agg(F.min(version).alias("least"), F.max(version).alias("most")).where("least <> most").select(doc, "least"))
     number = F.when(F.col("least").isNull() | (F.col("least") == F.col(version)), F.col(doc)).otherwise(F.xxhash64(doc, version))
-    named = keyed.where(F.col(doc).isNotNull()).select(doc, version, "text").join(several, doc, "left").select(number.alias("doc_id"), "text")
+    named = keyed.where(F.col(doc).isNotNull()).select(doc, version, "text").join(if_small(several), doc, "left").select(number.alias("doc_id"), "text")
     from tessera.llm.near_copies import similar_documents
 
     found = near_duplicates(named, shingle_words, max_bits, seed) if min_similarity is None else similar_documents(named, shingle_words, max_bits, min_similarity, seed)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("number")).distinct()
     odd = cut(met.join(several, doc, "left").withColumn("number", number).join(gone.withColumn("gone", F.lit(True)), "number", "left").where("gone or rows > 1").select(doc, version, F.coalesce("gone", F.lit(False)).alias("gone")))
-    alone = keyed.join(odd, [doc, version], "left_anti")  # rows without doc_id too
-    repeated = keyed.join(odd.where("not gone"), [doc, version], "left_semi").dropDuplicates([doc, version])
+    alone = keyed.join(if_small(odd), [doc, version], "left_anti")  # rows without doc_id too
+    repeated = keyed.join(if_small(cut(odd.where("not gone"))), [doc, version], "left_semi").dropDuplicates([doc, version])
     return alone.unionByName(repeated).select(*docs.columns)
 
 
