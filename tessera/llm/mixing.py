@@ -214,7 +214,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) ->
     placed = cut(lay_out(sized))
     named = placed.join(plan.withColumnRenamed("source", "s"), placed["source"].eqNullSafe(F.col("s"))).select("doc_id", "version", "source", "size", "source_size", "target", "start", "rank")
     over = named.where("size > 0").withColumn("block_index", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
-    spans = over.join(slots(plan, block, shard_slots), ["rank", "block_index"])
+    spans = over.join(slots(plan, block, shard_slots).hint("merge"), ["rank", "block_index"])  # both grow with the words
     begin = F.greatest(F.col("start"), F.col("block_index") * block)
     end = F.least(F.col("start") + F.col("size"), F.col("block_index") * block + F.col("tokens"))
     manifest = spans.where(end > begin).select("shard", "slot", "source", "epoch", "block_index", "doc_id", "start", (begin - F.col("start")).alias("first_word"), (end - begin).alias("n_words"))
