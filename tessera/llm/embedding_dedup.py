@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
-from tessera.llm.common import components, cut
+from tessera.llm.common import components, cut, if_small
 from tessera.llm.local_graph import roots
 
 MIN_COSINE = 0.98
@@ -239,7 +239,7 @@ def search(vectors: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
     key = ["label", "dim", "list", "p", "q"]
     first = _dealt(indexed.withColumn("small", F.struct("small", "lost")), "small").select(*key, "b", *ITEM, F.col("x.small").alias("x"), F.col("x.lost").alias("lost"))
     active = cut(first.groupBy(*key).applyInPandas(can_have_partners, "rep long").distinct())
-    return _dealt(indexed.join(active, "rep", "left_semi"), "embedding").groupBy(*key).applyInPandas(compare, "id long, links long, root long")
+    return _dealt(indexed.join(if_small(active), "rep", "left_semi"), "embedding").groupBy(*key).applyInPandas(compare, "id long, links long, root long")
 
 
 def near_duplicates(vectors: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
@@ -260,7 +260,7 @@ def near_duplicates(vectors: DataFrame, min_cosine: float = MIN_COSINE) -> DataF
     kinds = cut(good.select("vec_id", *same).distinct().groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
     # the row that stands for its equals: its vec_id and its hashes name it; repeated rows of it are one
     own = good.join(kinds, [*same], "inner").where(F.col("vec_id") == F.col("rep")).select("rep", "label", F.size("embedding").alias("dim"), "embedding", "copies", *same)
-    distinct = own.dropDuplicates(["rep", *same]).drop(*same)
+    distinct = cut(own.dropDuplicates(["rep", *same]).drop(*same))
     found = cut(search(distinct, min_cosine))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     comps = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
