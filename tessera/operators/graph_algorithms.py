@@ -150,6 +150,14 @@ def map_fidelity(src_edges: DataFrame, dst_edges: DataFrame, mapping: DataFrame)
     return got.withColumn("fidelity", F.when(F.col("internal") == 0, F.lit(-1.0)).otherwise(F.col("preserved") / F.nullif(F.col("internal"), F.lit(0))))
 
 
+def cycle_consistency(forward: DataFrame, backward: DataFrame) -> DataFrame:
+    """One row: mapped (of forward), back (that backward maps on), same (back to where they came from), consistency (same over back; null
+    without any). forward: (s, t), backward: (t, s)."""
+    met = forward.select("s", "t").join(backward.select("t", F.col("s").alias("b")), "t", "left")
+    out = met.agg(F.count("*").alias("mapped"), F.count("b").alias("back"), F.count_if(F.col("b") == F.col("s")).alias("same"))
+    return out.withColumn("consistency", F.col("same") / F.nullif(F.col("back"), F.lit(0)))
+
+
 def name_bridges(nodes: DataFrame, generic: tuple[str, ...] = (), per_pair: int = 3) -> DataFrame:
     """src_id, dst_id: nodes of different repos with one short name of more than two characters, at most per_pair for each node and other repo."""
     named = nodes.where((F.length("short_name") > 2) & ~F.lower("short_name").isin("", *generic)).select("id", "repo", "short_name")

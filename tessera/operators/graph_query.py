@@ -97,6 +97,13 @@ def dangling_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return a.select("kind").unionByName(b.select("kind")).groupBy("kind").agg(F.count("*").alias("dropped"))
 
 
+def insert_edges(nodes: DataFrame, edges: DataFrame, new: DataFrame) -> DataFrame:
+    """edges and those of new whose ends are both nodes; the others are left out (dangling_edges counts them)."""
+    ids = nodes.select("id").distinct()
+    met = new.join(ids.withColumnRenamed("id", "src_id"), "src_id", "left_semi").join(ids.withColumnRenamed("id", "dst_id"), "dst_id", "left_semi")
+    return edges.unionByName(met.select(*edges.columns))
+
+
 def upsert_symbols(lanes: list[DataFrame], keep_structural: bool = True) -> DataFrame:
     """Lanes of symbols in the order in which they are written, merged by id: the last lane wins, but for the five structural columns (where
     present), which stay as the first lane that knows them has them."""

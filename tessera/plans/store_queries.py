@@ -135,3 +135,31 @@ def capped_anchors(spark, d):
     from tessera.operators.motifs import capped
 
     return capped(g.edges(spark, d))
+
+
+@query("edge_insert", graph_sql(""", n AS (SELECT 'C:' || (o_custkey * 3) AS src_id, 'O:' || o_orderkey AS dst_id, 'INJECTS' AS kind, NULL::BIGINT AS "count" FROM orders WHERE o_orderkey % 5 = 0)
+SELECT kind, count(*) AS n FROM (SELECT * FROM g_edges UNION ALL SELECT * FROM n WHERE src_id IN (SELECT id FROM g_nodes) AND dst_id IN (SELECT id FROM g_nodes)) GROUP BY kind"""))
+def edge_insert(spark, d):
+    from tessera.operators.graph_query import insert_edges
+
+    o = g.table(spark, d, "orders").where("o_orderkey % 5 = 0")
+    new = o.select(F.concat(F.lit("C:"), (F.col("o_custkey") * 3).cast("string")).alias("src_id"), F.concat(F.lit("O:"), F.col("o_orderkey").cast("string")).alias("dst_id"), F.lit("INJECTS").alias("kind"), F.lit(None).cast("long").alias("count"))
+    return insert_edges(g.nodes(spark, d), g.edges(spark, d), new).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("cycle_consistency", """WITH f AS (SELECT c_custkey AS s, c_custkey * 7 % 1000 AS t FROM customer), b AS (SELECT c_custkey AS t, min(x) AS s FROM (SELECT c_custkey * 7 % 1000 AS c_custkey, c_custkey AS x FROM customer WHERE c_custkey % 3 <> 0) GROUP BY 1)
+SELECT count(*) AS mapped, count(b.s) AS back, count(*) FILTER (b.s = f.s) AS same, round(count(*) FILTER (b.s = f.s) / count(b.s), 6) AS consistency FROM f LEFT JOIN b USING (t)""")
+def cycle_consistency(spark, d):
+    from tessera.operators.graph_algorithms import cycle_consistency as measure
+
+    c, t = g.table(spark, d, "customer"), (F.col("c_custkey") * 7 % 1000).alias("t")
+    back = c.where("c_custkey % 3 <> 0").groupBy(t).agg(F.min("c_custkey").alias("s"))
+    return measure(c.select(F.col("c_custkey").alias("s"), t), back).select("mapped", "back", "same", *r6("consistency"))
+
+
+@query("threshold_classes", """WITH RECURSIVE v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.label, a.id AS a, b.id AS b, round(list_cosine_similarity(a.e, b.e), 9) AS s FROM v a JOIN v b ON a.label = b.label),
+th AS (SELECT unnest([0.3::DOUBLE, 0.8::DOUBLE, 0.99::DOUBLE]) AS threshold), l AS (SELECT threshold, label, a, b FROM p, th WHERE s >= threshold), r AS (SELECT threshold, label, a, a AS b FROM l UNION SELECT r.threshold, r.label, r.a, l.b FROM r JOIN l ON l.threshold = r.threshold AND l.a = r.b),
+c AS (SELECT threshold, label, a, min(b) AS c FROM r GROUP BY ALL), k AS (SELECT threshold, label, c, count(*) AS n FROM c GROUP BY ALL) SELECT label AS "group", threshold, count(*) AS n_classes, max(n) AS largest FROM k GROUP BY label, threshold""")
+def threshold_classes(spark, d):
+    v = g.table(spark, d, "embeddings").select(F.col("label").alias("group"), F.col("embedding").cast("array<double>").alias("vec"))
+    return s.threshold_classes(v, (0.3, 0.8, 0.99))

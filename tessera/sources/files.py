@@ -37,3 +37,22 @@ def read_ledger(spark: SparkSession, path: str, schema: str | T.StructType) -> D
 def replace_slice(df: DataFrame, path: str, keys: list[str]) -> None:
     """Overwrites only the partitions (by keys) that df has rows of."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
+def read_artifact(spark: SparkSession, path: str, manifest: dict, flag: str) -> DataFrame:
+    """A Parquet artifact, if the manifest says that it's there."""
+    if not manifest.get(flag):
+        raise FileNotFoundError(f"{path}: the manifest doesn't have {flag}")
+    return spark.read.parquet(path)
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """Rows of JSON lines with just these columns and types, never inferred; what a line lacks is null."""
+    return spark.read.schema(schema).json(path)
+
+
+def read_packs(spark: SparkSession, root: str, schema: str, name: str = "fixtures.jsonl", key: str = "fixture_id") -> DataFrame:
+    """Rows of all files of this name below root, each key once: that of the first path counts."""
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", name).json(root).withColumn("path", F.col("_metadata.file_path"))
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.min_by(F.struct(*rest), "path").alias("r")).select(key, "r.*")

@@ -179,3 +179,44 @@ def test_refold_stores_a_retried_batch_once(spark, tmp_path):
     assert [r["balance"] for r in got] == [3]
     stored = spark.createDataFrame([("a", "h1"), ("b", "h2")], "file string, hash string")
     assert [r["file"] for r in folds.changed_files(spark.createDataFrame([("a", "h1"), ("b", "h3"), ("c", "h1")], "file string, hash string"), stored).orderBy("file").collect()] == ["b", "c"]
+
+
+def test_artifacts_and_packs(spark, tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "fixtures.jsonl").write_text('{"fixture_id": "x", "title": "first"}\n{"fixture_id": "y"}\n')
+    (tmp_path / "a" / "b" / "fixtures.jsonl").write_text('{"fixture_id": "x", "title": "second"}\n')
+    (tmp_path / "a" / "other.jsonl").write_text('{"fixture_id": "z"}\n')
+    got = {r["fixture_id"]: r["title"] for r in files.read_packs(spark, str(tmp_path / "a"), "fixture_id string, title string").collect()}
+    assert got.keys() == {"x", "y"} and got["x"] == "second"  # a/b/fixtures.jsonl comes before a/fixtures.jsonl
+    assert files.read_json_lines(spark, str(tmp_path / "a" / "other.jsonl"), "fixture_id string, n long").collect() == [("z", None)]
+    spark.range(3).write.parquet(str(tmp_path / "p"))
+    assert files.read_artifact(spark, str(tmp_path / "p"), {"has_p": True}, "has_p").count() == 3
+    with pytest.raises(FileNotFoundError):
+        files.read_artifact(spark, str(tmp_path / "p"), {}, "has_p")
+
+
+def test_sinks(spark, tmp_path):
+    from tessera.operators import sinks
+
+    path = str(tmp_path / "t")
+    sinks.write_slices(spark.createDataFrame([("a", 1), ("b", 2)], "repo string, n int"), path, ["repo"])
+    sinks.write_slices(spark.createDataFrame([("b", 3)], "repo string, n int"), path, ["repo"])
+    assert sorted((r["repo"], r["n"]) for r in spark.read.parquet(path).collect()) == [("a", 1), ("b", 3)]
+    sinks.write_artifact(spark.range(2).withColumn("x", F.lit(1)), str(tmp_path / "u"), ["x", "id"])
+    assert spark.read.parquet(str(tmp_path / "u")).columns == ["x", "id"]
+    old, new = {"a": 1, "own": {"k": 1, "l": 2}, "kept": True}, {"a": 2, "own": {"k": 5}, "more": []}
+    assert sinks.merged_manifest(old, new) == {"a": 2, "own": {"k": 5, "l": 2}, "kept": True, "more": []}
+
+
+def test_text_functions(spark):
+    from tessera.functions import text as t
+
+    one = lambda f, x: spark.createDataFrame([(x,)], "x string").select(f(F.col("x")).alias("y")).first()["y"]
+    assert one(t.identifier_tokens, "parseHTTPResponse2_fast") == ["parse", "http", "response", "2", "fast"]
+    assert one(t.parameters, "def go(self, a: int, *rest, b = 1) -> x") == ["a", "rest", "b"]
+    assert one(t.doc_arity, ":param a: x\n@param b y") == 2 and one(t.doc_arity, "none") is None
+    assert one(t.hlc_parse, "5:6:r") == (5, 6, "r") and one(t.hlc_parse, "x") is None
+    assert one(t.iso_time, "1970-01-02") == 86_400_000_000 and one(t.iso_time, "soon") is None
+    assert t.canonical_json({"b": 1, "a": [True, None]}) == '{"a":[true,null],"b":1}'
+    m = spark.sql("select map('b', 'x\"', 'a', 'y') as m").select(t.canonical_map(F.col("m")).alias("j")).first()["j"]
+    assert m == '{"a":"y","b":"x\\""}'
