@@ -90,7 +90,8 @@ def format_turns(turns: DataFrame) -> DataFrame:
     """conv_id, turn, role, parts (array of PART) to conv_id, formatted, attachments (turn number from 0, n, kind, ref, tokens), expanded_tokens.
 
     Turns stand in the order of turn (nulls first), then role and content. Repeated rows stay. A null role is the empty role, null
-    parts are an empty content; rows without conv_id form one conversation. A conversation is one string, so its rows
+    parts are an empty content; rows without conv_id form one conversation. Texts of any length are formatted whole, extra columns are ignored whatever their
+    names, and an empty table gives no row. A conversation is one string, so its rows
     must meet in one task; nothing else is gathered.
     """
     content, files = flatten(F.col("parts"))

@@ -170,6 +170,18 @@ def test_chat_round_trip(spark):
         assert "[INST]" not in got[conv]["formatted"]
 
 
+def test_chat_ignores_clashing_columns_and_takes_empty_tables(spark, tmp_path):
+    rows = [(7, 0, "user", "hi", "x", 1, None), (7, 0, "user", "hi", "x", 1, None), (7, 1, "assistant", "yo", None, 2, "z")]
+    t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string, ts int, content string")
+    plain = t.select("conv_id", "turn", "role", "text")
+    parts = lambda df: df.withColumn("parts", chat.text_part(F.col("text")))
+    assert chat.format_turns(parts(t)).collect() == chat.format_turns(parts(plain)).collect() != []
+    assert chat.format_turns(parts(t).limit(0)).count() == 0
+    t.write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["conv_id"]: r["n_turns"] for r in chat.query(spark, str(tmp_path)).collect()}
+    assert got == {-1: 2, 7: 3}
+
+
 def test_chat_parts(spark):
     t = spark.sql("""select 1L conv_id, 0L turn, 'user' role, array(
         named_struct('kind','text','text','see <','ref',null,'width',null,'height',null,'seconds',null,'pages',null),
