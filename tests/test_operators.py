@@ -220,3 +220,14 @@ def test_text_functions(spark):
     assert t.canonical_json({"b": 1, "a": [True, None]}) == '{"a":[true,null],"b":1}'
     m = spark.sql("select map('b', 'x\"', 'a', 'y') as m").select(t.canonical_map(F.col("m")).alias("j")).first()["j"]
     assert m == '{"a":"y","b":"x\\""}'
+
+
+def test_ordinals_hold_over_many_rows(spark):
+    from tessera.operators import orders
+
+    n = 300_000
+    rows = spark.range(n).repartition(3).select("id", ((F.col("id") * 7919) % n).cast("double").alias("uncertainty"), F.lit(1.0).alias("blast"))
+    got = orders.ranked_decisions(rows)
+    assert got.where(F.col("rank") != n - F.col("uncertainty")).count() == 0 and got.count() == n
+    few = spark.createDataFrame([(1, 2.0, 1.0), (2, None, 1.0), (3, 5.0, 1.0)], "id long, uncertainty double, blast double")
+    assert {r["id"]: r["rank"] for r in orders.ranked_decisions(few).collect()} == {3: 1, 1: 2, 2: 3}
