@@ -231,3 +231,13 @@ def test_ordinals_hold_over_many_rows(spark):
     assert got.where(F.col("rank") != n - F.col("uncertainty")).count() == 0 and got.count() == n
     few = spark.createDataFrame([(1, 2.0, 1.0), (2, None, 1.0), (3, 5.0, 1.0)], "id long, uncertainty double, blast double")
     assert {r["id"]: r["rank"] for r in orders.ranked_decisions(few).collect()} == {3: 1, 1: 2, 2: 3}
+
+
+def test_local_graphs_have_no_bound_on_nodes(spark):
+    n = 210_000
+    star = spark.range(n).select(F.lit("r").alias("repo"), F.lit("hub").alias("src_id"), F.format_string("n%06d", "id").alias("dst_id"), F.lit(1.0).alias("weight"))
+    assert lg.articulation_points(star).collect() == [("r", "hub")]
+    got = lg.betweenness(star, pivots=10, directed=True)
+    assert got.count() == n + 1 and got.where("score <> 0").count() == 0
+    assert [(r["birth"], r["death"]) for r in lg.persistence_h0(star).collect()] == [(0.0, 1.0)]
+    assert [(r["community"], r["count"]) for r in lg.louvain(star).groupBy("community").count().collect()] == [("hub", n + 1)]
