@@ -241,3 +241,12 @@ def test_local_graphs_have_no_bound_on_nodes(spark):
     assert got.count() == n + 1 and got.where("score <> 0").count() == 0
     assert [(r["birth"], r["death"]) for r in lg.persistence_h0(star).collect()] == [(0.0, 1.0)]
     assert [(r["community"], r["count"]) for r in lg.louvain(star).groupBy("community").count().collect()] == [("hub", n + 1)]
+
+
+def test_reach_is_the_same_with_large_fronts(spark, monkeypatch):
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "a")], "src_id string, dst_id string")
+    seeds = spark.createDataFrame([("a",)], "id string")
+    want = {"a": 0, "b": 1, "c": 2, "d": 3}
+    for most in (ga.MAX_SENT, 0):
+        monkeypatch.setattr(ga, "MAX_SENT", most)
+        assert {r["id"]: r["depth"] for r in ga.reach(edges, seeds).collect()} == want
