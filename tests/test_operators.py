@@ -250,3 +250,15 @@ def test_reach_is_the_same_with_large_fronts(spark, monkeypatch):
     for most in (ga.MAX_SENT, 0):
         monkeypatch.setattr(ga, "MAX_SENT", most)
         assert {r["id"]: r["depth"] for r in ga.reach(edges, seeds).collect()} == want
+
+
+def test_profile_array_has_no_join(spark):
+    from tessera.operators import profiles
+    from tessera.schema import DIMS
+
+    nodes = spark.createDataFrame([("x", "r1"), ("y", None), ("z", "r2")], "id string, repo string")
+    edges = spark.createDataFrame([("x", "y", "CALLS"), ("x", "y", "CALLS"), ("y", "gone", "RAISES")], "src_id string, dst_id string, kind string")
+    got = profiles.profile_array(nodes, edges, ("repo",))
+    rows = {r["id"]: (r["repo"], {DIMS[i]: n for i, n in enumerate(r["vec"]) if n}) for r in got.collect()}
+    assert rows == {"x": ("r1", {("CALLS", "out"): 2}), "y": (None, {("CALLS", "in"): 2, ("RAISES", "out"): 1}), "z": ("r2", {})}
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
