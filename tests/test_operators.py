@@ -262,3 +262,10 @@ def test_profile_array_has_no_join(spark):
     rows = {r["id"]: (r["repo"], {DIMS[i]: n for i, n in enumerate(r["vec"]) if n}) for r in got.collect()}
     assert rows == {"x": ("r1", {("CALLS", "out"): 2}), "y": (None, {("CALLS", "in"): 2, ("RAISES", "out"): 1}), "z": ("r2", {})}
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_typed_jaccard_is_the_same_beyond_what_is_sent(spark):
+    from tessera.operators import similarity
+
+    edges = spark.createDataFrame([("s", "p", "CALLS"), ("s", "q", "CALLS"), ("t", "p", "CALLS"), ("t", "p", "CALLS"), ("u", "p", "RAISES")], "src_id string, dst_id string, kind string")
+    assert similarity.typed_jaccard(edges, "s", 5).collect() == similarity.typed_jaccard(edges, "s", 5, max_sent=0).collect() == [("t", 0.5)]
