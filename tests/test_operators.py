@@ -277,3 +277,19 @@ def test_precision_and_recall_from_judged_rows(spark):
     judged = spark.createDataFrame([(1, 1, 1), (1, 2, 0), (2, 1, None)], "query long, rank int, hit int")
     total = spark.createDataFrame([(1, 4), (2, 2), (3, 1)], "query long, total long")
     assert [(r["k"], round(r["precision"], 6), round(r["recall"], 6)) for r in scoring.scored_ranks(judged, total, (1,)).collect()] == [(1, round(1 / 3, 6), round(0.25 / 3, 6))]
+
+
+def test_a_pair_raises_once_whatever_its_flags(spark, tmp_path):
+    import os
+
+    from tessera import testgraph
+
+    d = "/root/testdata/sf0.001"
+    for f in os.listdir(d):
+        if f != "lineitem.parquet":
+            os.symlink(f"{d}/{f}", tmp_path / f)
+    line = spark.read.parquet(f"{d}/lineitem.parquet").limit(1)
+    other = lambda flag: line.withColumn("l_returnflag", F.lit(flag).cast("string"))
+    other("R").unionByName(other("X")).unionByName(other(None)).unionByName(other("A")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = testgraph.edges(spark, str(tmp_path)).where("src_id like 'U:%'").groupBy("kind").count()
+    assert {r["kind"]: r["count"] for r in got.collect()} == {"CONSTRUCTS": 1, "READS_FIELD": 1, "RAISES": 1}
