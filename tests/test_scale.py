@@ -60,3 +60,26 @@ def test_rounds_end_with_the_longest_path(spark, cuts):
     cuts.clear()
     ga.pagerank(spark.createDataFrame([(i,) for i in ids], "id string"), e).collect()
     assert len(cuts) <= 7
+
+
+def test_candidates_are_judged_from_one_row_a_pair_of_nodes(spark):
+    """A node with several candidates counts an arm once; parallel edges of several kinds are one row, seen from both ends."""
+    src = [("a", "b", "K1"), ("a", "b", "K2"), ("a", "c", "K1"), ("b", "a", "K1"), ("a", "a", "K1"), ("d", "e", "K1")]
+    dst = [("A", "B", "K1"), ("A", "B2", "K1"), ("A", "B2", "K2"), ("A", "A", "K1"), ("B", "A", "K2")]
+    cand = [("a", "A", 0.9), ("b", "B", 0.9), ("b", "B2", 0.8), ("c", "C", 0.9), ("d", "D", 0.01), ("d", "D2", 0.01)]
+    e, i = (spark.createDataFrame(r, "src_id string, dst_id string, kind string") for r in (src, dst))
+    c = ga.numbered(spark.createDataFrame(cand, "s string, t string, sigma double"))
+    met, degree, held, kinds = ga.edge_pairs(e, i, c)
+    assert met.count() == 3 and kinds == ["K1", "K2"]
+    held.unpersist()
+
+    def arms(rows):
+        return {(s, "o" + k, t) for s, t, k in rows} | {(t, "i" + k, s) for s, t, k in rows}
+
+    sa, ta = arms(src), arms(dst)
+    assert {r["s"]: r["deg"] for r in degree.collect()} == {s: sum(x[0] == s for x in sa) for s in "abcde"}
+    ok = {(s, t) for s, t, x in cand if x >= 0.05 and len({(k, n) for a, k, n in sa if a == s for m, u, _ in cand if m == n and (t, k, u) in ta}) >= 0.5 * sum(a == s for a, _, _ in sa)}
+    rest = {min((-x, s, t) for s, t, x in cand if s == n)[1:] for n in {s for s, _, _ in cand} - {s for s, _ in ok}}
+    assert {(r["s"], r["t"]) for r in ga.arc_consistent(e, i, c.drop("p"), share=0.5).collect()} == ok | rest
+    got = ga.flood_similarity(e, i, c.drop("p")).collect()
+    assert len(got) == len(cand) and all(0 <= r["sigma"] <= 1 for r in got)
