@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import graph_algorithms as ga
+from tessera.operators import graph_algorithms as ga, similarity as si
 
 
 @pytest.fixture
@@ -83,3 +83,21 @@ def test_candidates_are_judged_from_one_row_a_pair_of_nodes(spark):
     assert {(r["s"], r["t"]) for r in ga.arc_consistent(e, i, c.drop("p"), share=0.5).collect()} == ok | rest
     got = ga.flood_similarity(e, i, c.drop("p")).collect()
     assert len(got) == len(cand) and all(0 <= r["sigma"] <= 1 for r in got)
+
+
+@pytest.mark.parametrize("cap", [None, 3])
+def test_vectors_are_compared_in_blocks(spark, cap):
+    """The same as all pairs in one group, whatever blocks they come in; null vectors and groups meet nothing, a zero vector's cosine is 0."""
+    rng = np.random.default_rng(3)
+    rows = [(i, str(i % 3), rng.normal(size=4).tolist()) for i in range(60)]
+    rows += [(60, "0", None), (61, None, [1.0, 0, 0, 0]), (62, "0", [0.0] * 4), (63, "0", [1.0, None, 0, 0]), *[(64 + k, "1", rows[5][2]) for k in range(20)]]
+    v = spark.createDataFrame(rows, "id long, repo string, vec array<double>").repartition(5)
+    pairs = si.compared(v.where("id % 5 = 0"), v, 0.0, "repo", cap, block=4)
+    live = [r for r in rows if r[1] and r[2] and None not in r[2]]
+    cos = lambda x, y: float(np.dot(x, y) / max(np.linalg.norm(x) * np.linalg.norm(y), 1e-300))
+    want = [(a, b, cos(x, y)) for a, p, x in live if a % 5 == 0 for b, q, y in live if p == q and a != b and round(cos(x, y), 9) >= 0]
+    if cap is None:
+        assert sorted((r["src"], r["dst"], round(r["sim"], 9)) for r in pairs.collect()) == sorted((a, b, round(x, 9)) for a, b, x in want)
+    else:
+        got, ref = (si.relative_cut(p, 0.0, cap=cap).select("src", "dst", "rank", F.round("sim", 9), F.round("margin", 9)).collect() for p in (pairs, spark.createDataFrame(want, "src long, dst long, sim double")))
+        assert sorted(got) == sorted(ref)
