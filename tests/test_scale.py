@@ -90,7 +90,7 @@ def test_vectors_are_compared_in_blocks(spark, cap):
     """The same as all pairs in one group, whatever blocks they come in; null vectors and groups meet nothing, a zero vector's cosine is 0."""
     rng = np.random.default_rng(3)
     rows = [(i, str(i % 3), rng.normal(size=4).tolist()) for i in range(60)]
-    rows += [(60, "0", None), (61, None, [1.0, 0, 0, 0]), (62, "0", [0.0] * 4), (63, "0", [1.0, None, 0, 0]), *[(64 + k, "1", rows[5][2]) for k in range(20)]]
+    rows += [(60, "0", None), (61, None, [1.0, 0.0, 0.0, 0.0]), (62, "0", [0.0] * 4), (63, "0", [1.0, None, 0.0, 0.0]), *[(64 + k, "1", rows[5][2]) for k in range(20)]]
     v = spark.createDataFrame(rows, "id long, repo string, vec array<double>").repartition(5)
     pairs = si.compared(v.where("id % 5 = 0"), v, 0.0, "repo", cap, block=4)
     live = [r for r in rows if r[1] and r[2] and None not in r[2]]
