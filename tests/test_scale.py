@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import graph_algorithms as ga, similarity as si
+from tessera.operators import graph_algorithms as ga, modules as mo, similarity as si
 
 
 @pytest.fixture
@@ -101,3 +101,13 @@ def test_vectors_are_compared_in_blocks(spark, cap):
     else:
         got, ref = (si.relative_cut(p, 0.0, cap=cap).select("src", "dst", "rank", F.round("sim", 9), F.round("margin", 9)).collect() for p in (pairs, spark.createDataFrame(want, "src long, dst long, sim double")))
         assert sorted(got) == sorted(ref)
+
+
+def test_moves_shuffle_pairs_once(spark):
+    """Links, own ones and the best target come from one pass: no join of links with themselves. Ties go to the smaller name."""
+    e = spark.createDataFrame([("a", "b", "K"), ("a", "b", "L"), ("c", "a", "K"), ("d", "a", "K"), ("a", "a", "K"), ("e", "c", "K"), ("e", "d", "K")], "src_id string, dst_id string, kind string")
+    m = spark.createDataFrame([("a", "m1"), ("b", "m2"), ("c", "m3"), ("d", "m2"), ("e", "m9")], "id string, module string")
+    out = mo.realign_moves(e, m)
+    assert {tuple(r) for r in out.collect()} == {("a", "m1", "m2", 2, 3), ("b", "m2", "m1", 0, 2), ("c", "m3", "m1", 0, 1), ("d", "m2", "m1", 0, 1), ("e", "m9", "m2", 0, 1)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2
