@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import graph_algorithms as ga, modules as mo, similarity as si
+from tessera.operators import graph_algorithms as ga, modules as mo, profiles as pr, similarity as si
 
 
 @pytest.fixture
@@ -111,3 +111,52 @@ def test_moves_shuffle_pairs_once(spark):
     assert {tuple(r) for r in out.collect()} == {("a", "m1", "m2", 2, 3), ("b", "m2", "m1", 0, 2), ("c", "m3", "m1", 0, 1), ("d", "m2", "m1", 0, 1), ("e", "m9", "m2", 0, 1)}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 2
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def shuffles(df):
+    """Shuffles of the plan that ran; those used again count once."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return sum("Exchange " in line and "ReusedExchange" not in line for line in plan.splitlines())
+
+
+def brute_depth2(nodes, edges):
+    """(id, block, dim): mean. edges: src, dst, kind."""
+    inc = [x for s, t, k in edges for x in ((s, f"{k}:out", t), (t, f"{k}:in", s))]
+    prof, out = {}, {}
+    for i, dim, _ in inc:
+        prof.setdefault(i, {}).setdefault(dim, 0)
+        prof[i][dim] += 1
+    for i, block, other in inc:
+        if i in nodes and other in nodes:
+            for dim, n in prof[other].items():
+                out[i, block, dim] = out.get((i, block, dim), 0) + n
+    return {(i, b, d): x / sum(1 for j, c, _ in inc if (j, c) == (i, b)) for (i, b, d), x in out.items()}
+
+
+@pytest.mark.parametrize("word", [40, 2])
+def test_depth2_is_sent_packed(spark, no_broadcast, monkeypatch, word):
+    """Null and unknown ends count in a block's size only; many kinds, counts beyond 16 bits and pairs in one row give the same means."""
+    monkeypatch.setattr(pr, "WORD", word)
+    n_kinds, rng = 3, np.random.default_rng(5)
+    ids = [f"v{i}" for i in range(12)]
+    rows = [(str(rng.choice(ids)), str(rng.choice(ids)), f"K{rng.integers(n_kinds)}") for _ in range(150)] + [("v1", "v2", "K1")] * 3 + [("v3", None, "K0"), (None, "v3", "K1"), ("v4", "gone", "K0"), ("gone", "v4", "K0"), ("v5", "v5", "K2"), ("", "v1", "K0")]
+    nodes = spark.createDataFrame([(i,) for i in [*ids, "", None]], "id string")
+    edges = spark.createDataFrame(rows, "src_id string, dst_id string, kind string")
+    want = brute_depth2({*ids, ""}, rows)
+    for e in (edges, edges.groupBy("src_id", "dst_id").agg(F.collect_set("kind").alias("kinds"))):
+        got = pr.profile_depth2(nodes, e).collect()
+        if "kinds" in e.columns:
+            want = brute_depth2({*ids, ""}, sorted(set(rows), key=str))
+        assert len(got) == len(want) and {tuple(r)[:3]: r["mean"] for r in got} == pytest.approx(want)
+    assert shuffles(pr.profile_depth2(nodes, edges, tuple(f"K{i}" for i in range(n_kinds)))) <= 3  # nodes, edges, profiles
+    big = spark.range(70_000).select(F.lit("hub").alias("src_id"), F.concat(F.lit("leaf"), "id").alias("dst_id"), F.lit("K").alias("kind"))
+    hub = pr.profile_depth2(spark.createDataFrame([("hub",), ("leaf0",)], "id string"), big).collect()
+    assert {tuple(r) for r in hub} == {("leaf0", "K:in", "K:out", 70_000.0), ("hub", "K:out", "K:in", 1 / 70_000)}
