@@ -160,3 +160,27 @@ def test_depth2_is_sent_packed(spark, no_broadcast, monkeypatch, word):
     big = spark.range(70_000).select(F.lit("hub").alias("src_id"), F.concat(F.lit("leaf"), "id").alias("dst_id"), F.lit("K").alias("kind"))
     hub = pr.profile_depth2(spark.createDataFrame([("hub",), ("leaf0",)], "id string"), big).collect()
     assert {tuple(r) for r in hub} == {("leaf0", "K:in", "K:out", 70_000.0), ("hub", "K:out", "K:in", 1 / 70_000)}
+
+
+def test_parallel_edges_of_a_row_are_collapsed(spark, monkeypatch):
+    """A row with all kinds of a pair weighs what its edges do; what a task holds doesn't follow the table, as tasks do."""
+    from tessera import dealing
+
+    rows = [("a", "b", ["K", "L"], None), ("a", "b", ["M"], 4), ("b", "a", ["K"], 1), (None, "a", ["K", "M"], 2)]
+    sets = spark.createDataFrame(rows, "src_id string, dst_id string, kinds array<string>, count long")
+    single = sets.select("src_id", "dst_id", F.explode("kinds").alias("kind"), "count")
+    want = {("a", "b", 7), ("b", "a", 2), (None, "a", 6)}
+    assert {tuple(r) for r in ga.collapse(sets).collect()} == want == {tuple(r) for r in ga.collapse(single).collect()}
+    monkeypatch.setattr(dealing, "tasks", lambda *frames: 7)
+    assert "RepartitionByExpression [src_id" in ga.collapse(sets)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tasks_follow_the_files(spark, tmp_path, monkeypatch):
+    from tessera import dealing
+
+    spark.range(100_000).write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(dealing, "PER_TASK", 10_000)
+    one = dealing.tasks(t)
+    assert one > 10 and dealing.tasks(t.unionByName(t)) in (2 * one - 1, 2 * one)
+    assert dealing.dealt(t, "id").rdd.getNumPartitions() == one
