@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.dealing import dealt
+
 
 def last_of(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     """The row of each key with the largest order; all columns."""
@@ -138,8 +140,10 @@ def exemplars(vectors: DataFrame) -> DataFrame:
 
 
 def semantic_reach(edges: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """id, reach: distinct sources of edges of these kinds."""
-    return edges.where(F.col("kind").isin(*kinds)).groupBy(F.col("dst_id").alias("id")).agg(F.count_distinct("src_id").alias("reach"))
+    """id, reach: distinct sources of edges of these kinds. edges: one a row, or with all kinds of a pair in kinds."""
+    wanted = F.arrays_overlap("kinds", F.array(*map(F.lit, kinds))) if "kinds" in edges.columns else F.col("kind").isin(*kinds)
+    pairs = dealt(edges.where(wanted).select("src_id", "dst_id"), "dst_id", "src_id").distinct()
+    return pairs.groupBy(F.col("dst_id").alias("id")).agg(F.count("src_id").alias("reach"))
 
 
 def field_flow(edges: DataFrame, members: DataFrame) -> DataFrame:

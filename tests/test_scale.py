@@ -184,3 +184,15 @@ def test_tasks_follow_the_files(spark, tmp_path, monkeypatch):
     one = dealing.tasks(t)
     assert one > 10 and dealing.tasks(t.unionByName(t)) in (2 * one - 1, 2 * one)
     assert dealing.dealt(t, "id").rdd.getNumPartitions() == one
+
+
+def test_reach_counts_a_source_once(spark):
+    """Sources in several rows, of several kinds and null; pairs are made distinct after one dealing, by both ends."""
+    from tessera.operators import cards
+
+    rows = [("a", "x", ["K", "L"]), ("a", "x", ["L"]), ("b", "x", ["M", "K"]), (None, "x", ["K"]), ("c", "x", ["M"]), (None, "y", ["K"]), ("a", None, ["K"])]
+    sets = spark.createDataFrame(rows, "src_id string, dst_id string, kinds array<string>")
+    for e in (sets, sets.select("src_id", "dst_id", F.explode("kinds").alias("kind"))):
+        out = cards.semantic_reach(e, ("K", "L"))
+        assert {tuple(r) for r in out.collect()} == {("x", 2), ("y", 0), (None, 1)}
+        assert "RepartitionByExpression [dst_id" in out._jdf.queryExecution().optimizedPlan().toString()
