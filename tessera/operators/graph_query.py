@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.dealing import tasks
 from tessera.schema import EDGE_KINDS
 
 CALLER_KINDS = ("CALLS", "REFERENCES")
@@ -99,8 +100,10 @@ def dangling_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def insert_edges(nodes: DataFrame, edges: DataFrame, new: DataFrame) -> DataFrame:
     """edges and those of new whose ends are both nodes; the others are left out (dangling_edges counts them)."""
-    ids = nodes.select("id").distinct()
-    met = new.join(ids.withColumnRenamed("id", "src_id"), "src_id", "left_semi").join(ids.withColumnRenamed("id", "dst_id"), "dst_id", "left_semi")
+    n = tasks(nodes, new)
+    ids = nodes.select("id").repartition(n, "id")
+    met = new.repartition(n, "src_id").join(ids.withColumnRenamed("id", "src_id"), "src_id", "left_semi")
+    met = met.repartition(n, "dst_id").join(ids.withColumnRenamed("id", "dst_id"), "dst_id", "left_semi")
     return edges.unionByName(met.select(*edges.columns))
 
 

@@ -196,3 +196,14 @@ def test_reach_counts_a_source_once(spark):
         out = cards.semantic_reach(e, ("K", "L"))
         assert {tuple(r) for r in out.collect()} == {("x", 2), ("y", 0), (None, 1)}
         assert "RepartitionByExpression [dst_id" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_insertion_needs_no_distinct_nodes(spark):
+    from tessera.operators.graph_query import insert_edges
+
+    nodes = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "id string")
+    row = "src_id string, dst_id string, kind string"
+    new = spark.createDataFrame([("a", "b", "N"), ("a", "b", "N"), ("a", "z", "N"), ("z", "b", "N"), (None, "b", "N")], row)
+    out = insert_edges(nodes, spark.createDataFrame([("q", "r", "K")], row), new)
+    assert sorted(map(tuple, out.collect())) == [("a", "b", "N"), ("a", "b", "N"), ("q", "r", "K")]
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
