@@ -207,3 +207,58 @@ def test_insertion_needs_no_distinct_nodes(spark):
     out = insert_edges(nodes, spark.createDataFrame([("q", "r", "K")], row), new)
     assert sorted(map(tuple, out.collect())) == [("a", "b", "N"), ("a", "b", "N"), ("q", "r", "K")]
     assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def brute_motifs(nodes, edges, cap):
+    """{(signature, shape): (support, repos)}, by the definition. nodes: id, kind, repo; edges: src, dst, kind."""
+    arms, out, nodes = {}, {}, [n for n in nodes if n[0] is not None]
+    for s, t, k in edges:
+        arms.setdefault(s, []).append((k, "out", t))
+        arms.setdefault(t, []).append((k, "in", s))
+    for anchor, kind, repo in nodes:
+        own = sorted(arms.get(anchor, []), key=lambda x: (x[0], x[1], x[2] is None, x[2]))[:cap]
+        same = sum(n[0] == anchor for n in nodes)
+        for i, (ak, ad, ao) in enumerate(own):
+            for bk, bd, bo in own[i + 1 :]:
+                for _, x, _ in (n for n in nodes if n[0] == ao != bo):
+                    for _, y, _ in (n for n in nodes if n[0] == bo):
+                        pair = (f"{ak}:{x}", f"{bk}:{y}")
+                        shape = "path" if ad != bd else "v" if ad == "out" else "w"
+                        pair = sorted(pair) if shape != "path" else pair if ad == "in" else pair[::-1]
+                        n, repos = out.setdefault((" ".join([shape, kind, *pair]), shape), (0, set()))
+                        out[" ".join([shape, kind, *pair]), shape] = (n + same, repos | {repo})
+    return {k: (n, len(r)) for k, (n, r) in out.items()}
+
+
+@pytest.mark.parametrize("word", [40, 2])
+def test_motifs_are_counted_by_what_neighbours_share(spark, no_broadcast, monkeypatch, word):
+    """Hubs above the cap, parallel edges in one row and in several, self-loops, ends that are null (last in the order) or no nodes, ids of several nodes."""
+    from tessera.operators import motifs
+
+    monkeypatch.setattr(pr, "WORD", word)
+    rng, ids = np.random.default_rng(8), [f"v{i}" for i in range(14)]
+    nodes = [(v, f"k{i % 3}", f"r{i % 4}") for i, v in enumerate(ids)] + [("v1", "k1", "r9"), ("v2", "k0", "r2"), (None, "k0", "r0"), ("", "k1", "r1")]
+    rows = [(str(rng.choice(ids)), str(rng.choice(ids[:5])), f"K{rng.integers(5)}") for _ in range(120)] + [(s, f"v{i}", "K0") for i in range(14) for s in ("v3", "", "gone")]
+    rows += [("v1", "v2", "K1")] * 3 + [("v3", None, "K0"), (None, "v3", "K0"), (None, "v4", "K0"), ("v4", "gone", "K0"), ("v5", "v5", "K2"), ("v0", "", "K4")] + [(None, "v9", "K0")] * 4
+    e = spark.createDataFrame(rows, "src_id string, dst_id string, kind string")
+    sets = e.withColumn("at", F.monotonically_increasing_id() % 2).groupBy("src_id", "dst_id", "at").agg(F.collect_set("kind").alias("kinds"))
+    single = sorted(map(tuple, sets.select("src_id", "dst_id", F.explode("kinds")).collect()), key=str)
+    frame = spark.createDataFrame(nodes, "id string, kind string, repo string")
+    for cap in (4, 30):
+        for edges, plain, kinds in ((e, rows, None), (sets, single, ("K4", "K3", "K2", "K1", "K0")), (sets.repartition(3, "dst_id"), single, None)):
+            got = motifs.motif_counts(frame, edges, 1, cap, kinds, at_dst=edges.rdd.getNumPartitions() == 3).collect()
+            assert {(r["signature"], r["shape"]): (r["support"], r["n_repos"]) for r in got} == brute_motifs(nodes, plain, cap)
+    assert motifs.motif_counts(frame, e.limit(0)).collect() == []
+
+
+def test_motifs_read_and_send_lines_once(spark, no_broadcast, monkeypatch):
+    """Pairs go to dst, src and dst again; lines aren't shuffled before that, for each kind of pair or for each end."""
+    from tessera import dealing
+    from tessera.plans.mining_queries import motifs_3node
+
+    monkeypatch.setattr(dealing, "PER_TASK", 100_000)
+    out = motifs_3node(spark, "/root/testdata/sf0.001")
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert sum("FileScan" in line and "l_partkey" in line for line in plan.splitlines()) == 1
+    assert sum("Exchange hashpartitioning(src_id" in line and "ReusedExchange" not in line for line in plan.splitlines()) == 1
